@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,15 +175,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """``docs`` without those that ``contaminated`` finds, each judged by its own text."""
-    out = docs
-    for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(Items(block, least))
-
+    def leaks(items: Broadcast):
         @F.pandas_udf("boolean")
-        def leaks(text: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series([bool(isinstance(t, str) and sent.value.match(t, coverage)) for t in text])
+        def found(text: pd.Series) -> pd.Series:
+            return pd.Series([bool(isinstance(t, str) and items.value.match(t, coverage)) for t in text])
 
-        out = out.where(~leaks("text"))
+        return found("text")
+
+    out = docs
+    for block in _blocks(benchmark):
+        out = out.where(~leaks(docs.sparkSession.sparkContext.broadcast(Items(block, least))))
     return out
 
 
