@@ -1,7 +1,120 @@
-"""Queries over the driver's tables, one for each operator, with equivalent SQL."""
+"""Queries over the driver's tables, one or more for each operator, with equivalent SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import nested, render, variant
+from tessella.operators import aggregates, metadata
+from tessella.plans import filter_api as J
+from tessella.plans import predicate as P
+from tessella.plans.reader import Scan, both, byte_range, open_dataset
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "filter_project"
+
+
+def _scan(spark: SparkSession, sf_dir: str, *tables: str) -> Scan:
+    return open_dataset(spark, *(f"{sf_dir}/{t}.parquet" for t in tables)).scan()
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _filter(name: str, table: str, columns: tuple[str, ...], predicate: P.Predicate, where: str) -> None:
+    _add(name, lambda s, d: _scan(s, d, table).filter(predicate).projection(*columns).dataframe(), f"SELECT {', '.join(columns)} FROM {table} WHERE {where}")
+
+
+_SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+_TS = datetime(1996, 3, 5)
+_KINDS = {  # literal and its SQL, by kind
+    "int": ("part", ("p_partkey", "p_size"), "p_size", P.i32(25), "25"),
+    "long": ("orders", ("o_orderkey", "o_custkey"), "o_custkey", P.i64(77), "77"),
+    "double": ("lineitem", ("l_orderkey", "l_linenumber", "l_discount"), "l_discount", P.f64(0.05), "0.05"),
+    "string": ("orders", ("o_orderkey", "o_orderpriority"), "o_orderpriority", "3-MEDIUM", "'3-MEDIUM'"),
+    "timestamp": ("orders", ("o_orderkey", "o_orderdate"), "o_orderdate", _TS, "TIMESTAMP '1996-03-05'"),
+}
+for _kind, (_table, _columns, _column, _value, _text) in _KINDS.items():
+    for _op, _sign in _SIGNS.items():
+        _filter(f"filter_{_op}_{_kind}", _table, _columns, getattr(P, _op)(_column, _value), f"{_column} {_sign} {_text}")
+
+_filter("filter_project", "lineitem", ("l_orderkey", "l_extendedprice"), P.all_of(P.ge("l_quantity", 30.0), P.lt("l_shipdate", datetime(1996, 1, 1))), "l_quantity >= 30 AND l_shipdate < TIMESTAMP '1996-01-01'")
+_filter("filter_in_int", "part", ("p_partkey",), P.is_in("p_size", P.i32(1), P.i32(7), P.i32(50)), "p_size IN (1, 7, 50)")
+_filter("filter_in_long", "orders", ("o_orderkey",), P.is_in("o_custkey", P.i64(1), P.i64(2), P.i64(3)), "o_custkey IN (1, 2, 3)")
+_filter("filter_in_string", "orders", ("o_orderkey",), P.is_in("o_orderstatus", "F", "P"), "o_orderstatus IN ('F', 'P')")
+_filter("filter_not_in", "part", ("p_partkey",), ~P.is_in("p_size", 1, 2, 3), "p_size NOT IN (1, 2, 3)")
+_filter("filter_and", "lineitem", ("l_orderkey", "l_linenumber"), P.gt("l_quantity", 40.0) & P.eq("l_returnflag", "R") & P.le("l_tax", 0.04), "l_quantity > 40 AND l_returnflag = 'R' AND l_tax <= 0.04")
+_filter("filter_or", "lineitem", ("l_orderkey", "l_linenumber"), P.lt("l_quantity", 3.0) | P.eq("l_linestatus", "O"), "l_quantity < 3 OR l_linestatus = 'O'")
+_filter("filter_not_and", "orders", ("o_orderkey",), ~(P.eq("o_orderstatus", "O") & P.gt("o_totalprice", 100000.0)), "NOT (o_orderstatus = 'O' AND o_totalprice > 100000)")
+_filter("filter_not_or", "orders", ("o_orderkey",), P.not_(P.any_of(P.eq("o_orderstatus", "O"), P.not_(P.gt("o_custkey", 50)))), "NOT (o_orderstatus = 'O' OR NOT (o_custkey > 50))")
+_filter("filter_between", "events", ("event_id", "value"), P.between("value", 10.0, 20.0), "value BETWEEN 10 AND 20")
+_filter("filter_is_null", "documents", ("doc_id",), P.is_null("lang"), "lang IS NULL")
+_filter("filter_is_not_null", "documents", ("doc_id",), P.is_not_null("lang"), "lang IS NOT NULL")
+_filter("filter_nested_mix", "lineitem", ("l_orderkey", "l_linenumber"), P.any_of(P.all_of(P.ge("l_discount", 0.08), ~P.eq("l_returnflag", "N")), P.lt("l_extendedprice", 2000.0)), "(l_discount >= 0.08 AND l_returnflag <> 'N') OR l_extendedprice < 2000")
+_filter("filter_java_names", "part", ("p_partkey",), J.and_(J.gt_eq(J.int_column("p_size"), 10), J.not_(J.eq(J.binary_column("p_brand"), "Brand#12"))), "p_size >= 10 AND p_brand <> 'Brand#12'")
+_filter("filter_epoch_long", "orders", ("o_orderkey",), P.ge("o_orderdate", P.i64(825984000000000)), "o_orderdate >= TIMESTAMP '1996-03-05'")
+_filter("filter_string_range", "customer", ("c_custkey", "c_mktsegment"), P.gt("c_mktsegment", "BUILDING") & P.lt("c_mktsegment", "MACHINERY"), "c_mktsegment > 'BUILDING' AND c_mktsegment < 'MACHINERY'")
+_filter("project_filter_unprojected", "customer", ("c_custkey",), P.gt("c_acctbal", 0.0), "c_acctbal > 0")
+
+_add("scan_full", lambda s, d: _scan(s, d, "nation").dataframe(), "SELECT * FROM nation")
+_add("project_subset", lambda s, d: _scan(s, d, "part").projection("p_size", "p_partkey", "p_size").dataframe(), "SELECT p_partkey, p_size FROM part")
+_add("project_all", lambda s, d: _scan(s, d, "region").dataframe(), "SELECT r_regionkey, r_name FROM region")
+_add("column_by_name", lambda s, d: _scan(s, d, "part").column("p_name"), "SELECT p_name FROM part")
+_add("column_by_index", lambda s, d: _scan(s, d, "part").column(4), "SELECT p_size FROM part")
+_add("multi_file_concat", lambda s, d: _scan(s, d, "orders", "orders").projection("o_orderkey").dataframe(), "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders")
+_add("scan_unfiltered_metadata", lambda s, d: open_dataset(s, f"{d}/part.parquet", options={"metadata-filtering": "true"}).scan().filter(P.ge("p_size", 45)).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part WHERE p_size >= 45")
+_add("batches_arrow", lambda s, d: _scan(s, d, "part").projection("p_partkey", "p_size").batches(lambda it: it, "p_partkey long, p_size int"), "SELECT p_partkey, p_size FROM part")
+
+_add("head_n", lambda s, d: _scan(s, d, "events").head(25).projection("event_id").dataframe(), "SELECT event_id FROM events ORDER BY event_id LIMIT 25")
+_add("skip_n", lambda s, d: _scan(s, d, "customer").skip(100).projection("c_custkey").dataframe(), "SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 100")
+_add("skip_head", lambda s, d: _scan(s, d, "part").skip(37).head(11).projection("p_partkey", "p_name").dataframe(), "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 11 OFFSET 37")
+_add("tail_n", lambda s, d: _scan(s, d, "orders").tail(13).projection("o_orderkey").dataframe(), "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 13")
+_add("filter_head", lambda s, d: _scan(s, d, "events").filter(P.gt("value", 50.0)).head(20).projection("event_id", "value").dataframe(), "SELECT event_id, value FROM events WHERE value > 50 ORDER BY event_id LIMIT 20")
+_add("filter_skip_head", lambda s, d: _scan(s, d, "events").filter(P.eq("event_type", "click")).skip(15).head(20).projection("event_id").dataframe(), "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 20 OFFSET 15")
+_add("filter_skip", lambda s, d: _scan(s, d, "part").filter(P.gt("p_size", 20)).skip(30).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part WHERE p_size > 20 ORDER BY p_partkey OFFSET 30")
+_add("skip_past_end", lambda s, d: _scan(s, d, "region").skip(99).dataframe(), "SELECT * FROM region LIMIT 0")
+_add("multi_file_skip_head", lambda s, d: _scan(s, d, "region", "region").skip(3).head(4).projection("r_regionkey").dataframe(), "SELECT * FROM (VALUES (3), (4), (0), (1)) t(r_regionkey)")
+_add("byte_range_all", lambda s, d: _scan(s, d, "part").row_groups(both(byte_range(0, 1 << 40), byte_range(0, 1 << 41))).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part")
+_add("byte_range_none", lambda s, d: _scan(s, d, "part").row_groups(byte_range(0, 1)).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part LIMIT 0")
+_add("selection_report", lambda s, d: _scan(s, d, "part").selection().select("row_group", "rows", "kept"), "SELECT 0 AS row_group, count(*) AS rows, true AS kept FROM part")
+
+_add("agg_sum3", lambda s, d: aggregates.sums(_scan(s, d, "lineitem").projection("l_quantity", "l_extendedprice", "l_tax").dataframe(), "l_quantity", "l_extendedprice", "l_tax").select("rows", *(F.round(c, 2).alias(c) for c in ("sum_l_quantity", "sum_l_extendedprice", "sum_l_tax"))), "SELECT count(*) AS rows, round(sum(l_quantity), 2) AS sum_l_quantity, round(sum(l_extendedprice), 2) AS sum_l_extendedprice, round(sum(l_tax), 2) AS sum_l_tax FROM lineitem")
+_add("agg_sum_nulls", lambda s, d: aggregates.sums(_scan(s, d, "part").dataframe().select(F.nullif("p_size", F.lit(7)).alias("p_size")), "p_size"), "SELECT count(*) AS rows, sum(nullif(p_size, 7))::BIGINT AS sum_p_size FROM part")
+_add("agg_extremes", lambda s, d: aggregates.extremes(_scan(s, d, "embeddings").dataframe(), "label", "embedding"), "SELECT min(label) AS min_label, max(label) AS max_label, max(len(embedding))::INT AS max_size_embedding FROM embeddings")
+_add("agg_string_length", lambda s, d: aggregates.extremes(_scan(s, d, "documents").dataframe(), "text", "n_chars"), "SELECT max(length(text))::INT AS max_length_text, min(n_chars) AS min_n_chars, max(n_chars) AS max_n_chars FROM documents")
+_add("agg_null_counts", lambda s, d: aggregates.null_counts(_scan(s, d, "part").dataframe().select(F.nullif("p_brand", F.lit("Brand#12")).alias("p_brand"), "p_size"), "p_brand", "p_size"), "SELECT count(*) FILTER (WHERE nullif(p_brand, 'Brand#12') IS NULL) AS nulls_p_brand, count(*) FILTER (WHERE p_size IS NULL) AS nulls_p_size FROM part")
+_add("count_by_footer", lambda s, d: s.createDataFrame([(open_dataset(s, f"{d}/lineitem.parquet", f"{d}/orders.parquet").count(),)], "rows long"), "SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM orders) AS rows")
+
+_add("list_sum", lambda s, d: _scan(s, d, "embeddings").dataframe().select("vec_id", F.round(nested.total(F.col("embedding"), "double"), 6).alias("total")), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+_add("list_get", lambda s, d: _scan(s, d, "embeddings").dataframe().select("vec_id", nested.item(F.col("embedding"), 5).alias("item"), F.size("embedding").alias("size")), "SELECT vec_id, embedding[6] AS item, len(embedding)::INT AS size FROM embeddings")
+_add("list_explode_count", lambda s, d: _scan(s, d, "embeddings").dataframe().select(F.explode("embedding").alias("x")).agg(F.count("*").alias("items"), F.count_if(F.col("x") > 0).alias("positive")), "SELECT count(*) AS items, count(*) FILTER (WHERE x > 0) AS positive FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+_add("list_of_lists_sum", lambda s, d: _scan(s, d, "embeddings").dataframe().select("vec_id", F.round(nested.leaf_total(F.array("embedding", "embedding"), 2, "double"), 6).alias("total")), "SELECT vec_id, round(list_sum(list_transform(flatten([embedding, embedding]), lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+_add("list_state", lambda s, d: _scan(s, d, "embeddings").dataframe().select("vec_id", nested.state(F.when(F.col("vec_id") % 4 == 0, F.lit(None)).when(F.col("vec_id") % 4 == 1, F.slice("embedding", 1, 0)).when(F.col("vec_id") % 4 == 2, F.array(F.lit(None).cast("float"))).otherwise(F.col("embedding"))).alias("state")), "SELECT vec_id, ['null', 'empty', 'null item', 'value'][1 + vec_id % 4] AS state FROM embeddings")
+_add("layer_offsets", lambda s, d: nested.layer_offsets(_scan(s, d, "embeddings").dataframe(), "embedding", ["label"], ["vec_id"]).select("vec_id", "first", "end"), "SELECT vec_id, (sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) - len(embedding))::BIGINT AS first, (sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id))::BIGINT AS \"end\" FROM embeddings")
+_add("struct_get", lambda s, d: _scan(s, d, "customer").dataframe().select("c_custkey", F.struct(F.struct("c_name").alias("a")).alias("b")).select("c_custkey", F.col("b.a.c_name").alias("name")), "SELECT c_custkey, c_name AS name FROM customer")
+_add("map_last_match", lambda s, d: _scan(s, d, "customer").dataframe().select("c_custkey", nested.map_value(F.create_map(F.lit("n"), "c_nationkey", F.lit("m"), F.col("c_nationkey") + 1), "m").alias("v"), nested.map_has(F.create_map(F.lit("n"), "c_nationkey"), "x").alias("has")), "SELECT c_custkey, c_nationkey + 1 AS v, false AS has FROM customer")
+_add("map_lockstep", lambda s, d: nested.lockstep(_scan(s, d, "nation").dataframe().select("n_nationkey", F.create_map(F.lit("name"), "n_name", F.lit("key"), F.col("n_nationkey").cast("string")).alias("m")), "m").select("n_nationkey", "key", "value"), "SELECT n_nationkey, 'name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'key', n_nationkey::VARCHAR FROM nation")
+_add("variant_get", lambda s, d: _scan(s, d, "events").dataframe().select("event_id", variant.get(variant.parsed(F.col("props")), "$.k", "long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+_add("variant_kind", lambda s, d: _scan(s, d, "events").dataframe().select("event_id", variant.kind_of(variant.parsed(F.col("props"))).alias("kind"), variant.is_null_value(variant.parsed(F.lit("null"))).alias("null_value")), "SELECT event_id, 'OBJECT<k: BIGINT>' AS kind, true AS null_value FROM events")
+_add("variant_text", lambda s, d: _scan(s, d, "events").dataframe().select("event_id", variant.to_text(variant.parsed(F.col("props"))).alias("text")), "SELECT event_id, replace(props, ': ', ':') AS text FROM events")
+
+_add("convert_csv", lambda s, d: render.csv_rows(_scan(s, d, "orders").projection("o_orderkey", "o_orderstatus", "o_orderdate").dataframe()), "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate FROM orders")
+_add("convert_json", lambda s, d: render.json_rows(_scan(s, d, "nation").dataframe()), "SELECT '{\"n_nationkey\":\"' || n_nationkey || '\",\"n_name\":\"' || n_name || '\",\"n_regionkey\":\"' || n_regionkey || '\"}' AS json FROM nation")
+
+_add("meta_files", lambda s, d: metadata.files(s, f"{d}/lineitem.parquet", f"{d}/part.parquet").select("num_rows", "columns"), "SELECT count(*) AS num_rows, 11 AS columns FROM lineitem UNION ALL SELECT count(*), 6 FROM part")
+_add("meta_row_groups", lambda s, d: metadata.row_groups(s, f"{d}/part.parquet").select("row_group", "num_rows", "first_row"), "SELECT 0 AS row_group, count(*) AS num_rows, 0::BIGINT AS first_row FROM part")
+_add("meta_columns", lambda s, d: metadata.column_chunks(s, f"{d}/part.parquet").select("column", "name", "physical", "num_values", "null_count"), "SELECT c AS \"column\", n AS name, p AS physical, (SELECT count(*) FROM part) AS num_values, 0::BIGINT AS null_count FROM (VALUES (0, 'p_partkey', 'INT64'), (1, 'p_name', 'BYTE_ARRAY'), (2, 'p_brand', 'BYTE_ARRAY'), (3, 'p_type', 'BYTE_ARRAY'), (4, 'p_size', 'INT32'), (5, 'p_retailprice', 'DOUBLE')) t(c, n, p)")
+_add("meta_statistics", lambda s, d: metadata.column_chunks(s, f"{d}/orders.parquet").where(F.col("name") == "o_orderkey").select("min", "max"), "SELECT min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max FROM orders")
+_add("meta_leaf_schema", lambda s, d: metadata.leaf_schema(s, f"{d}/embeddings.parquet").select("column", "physical", "max_definition", "max_repetition"), "SELECT * FROM (VALUES (0, 'INT64', 1, 0), (1, 'FLOAT', 3, 1), (2, 'INT32', 1, 0)) t(\"column\", physical, max_definition, max_repetition)")
+_add("meta_pages", lambda s, d: metadata.pages(s, f"{d}/part.parquet", columns=["p_size"]).where(F.col("type").startswith("DATA")).agg(F.sum("num_values").alias("num_values")), "SELECT count(*) AS num_values FROM part")
+_add("meta_page_index", lambda s, d: metadata.page_index(s, f"{d}/part.parquet").select("name", "page", "first_row"))
+_add("meta_dictionary", lambda s, d: metadata.dictionary(s, f"{d}/orders.parquet", "o_orderstatus").select("row_group", "value"), "SELECT DISTINCT 0 AS row_group, o_orderstatus AS value FROM orders")
+_add("meta_column_summary", lambda s, d: metadata.column_summary(s, f"{d}/part.parquet").select("name", "num_values"), "SELECT n AS name, (SELECT count(*) FROM part) AS num_values FROM (VALUES ('p_partkey'), ('p_name'), ('p_brand'), ('p_type'), ('p_size'), ('p_retailprice')) t(n)")
