@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             items = sent.value
             for b in batches:
                 rows = [(i, *x) for i, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) if isinstance(t, str) for x in items.match(t, coverage)]
-                yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "item_id": pd.array([r[1] for r in rows], "Int64"), "coverage": [float(r[2]) for r in rows], "tiles": [[list(x) for x in r[3]] for r in rows]})
+                yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "item_id": pd.array([r[1] for r in rows], "Int64"), "coverage": np.array([r[2] for r in rows], np.float64), "tiles": pd.Series([[list(x) for x in r[3]] for r in rows], dtype=object)})
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, item_id long, coverage double, tiles array<array<int>>")
         out = found if out is None else out.union(found)
