@@ -1,6 +1,6 @@
 """Token ids in binary shards of patched frame-of-reference blocks.
 
-File format. A shard is a Parquet table with one row per chunk of about a million ids:
+File format. A shard is a Parquet table with one row per chunk of about 262,144 ids:
 ``part`` and ``seq`` order the chunks; ``first`` counts the ids of earlier chunks of the part;
 ``doc_ids`` and ``lengths`` list the documents of the chunk, and ``payload`` holds their ids.
 Little-endian, a payload is::
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import saved, shuffle_partitions
 
-BLOCK, PERCENTILE, CHUNK = 128, 0.9, 1 << 20
+BLOCK, PERCENTILE, CHUNK = 128, 0.9, 1 << 18
 HEAD = struct.Struct("<4sQIII")
 SCHEMA = "part int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -107,39 +108,95 @@ class Encoder:
     """Encodes texts with a tokenizer file whose pre-tokens never reach across a single space between two other characters.
 
     So a text is the concatenation of pieces cut before such spaces, and of its ids the
-    concatenation of theirs. Pieces recur; their ids are remembered, up to ``most`` pieces.
+    concatenation of theirs. Pieces recur; their ids are remembered, in two generations of about ``most`` pieces.
+    A text whose spaces touch other white space is cut by a pattern instead of at every space.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
-    UNEVEN = re.compile(r"\s \S|\S \s|\s \s|^ | $")
+    #: White space other than space and line feed, as Python's ``\s`` has it.
+    RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
-    def __init__(self, path: str, most: int = 600_000, end_id: int = 2):
+    def __init__(self, path: str, most: int = 200_000, end_id: int = 2):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: Ids of first pieces, and of the others: those follow a space. What an older generation knows is taken over when it recurs.
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]
+        self.code = "I" if self.tokenizer.get_vocab_size() > 65536 else "H"
+        self.kind = "<u2" if self.code == "H" else "<u4"
         self.end = np.array([end_id], "<u4")
-        self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.kind = "<u4" if self.wide else "<u2"
+        size = self.tokenizer.get_vocab_size()
+        self.starts = np.array([(self.tokenizer.id_to_token(k) or "")[:1] == "\u0120" for k in range(size)])
+        self.ends = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.line = self._ids(["\n"])[0]
 
     def pieces(self, text: str) -> list[str]:
-        parts = self.CUT.split(text) if self.UNEVEN.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        """The text cut before spaces, which are left out."""
+        uneven = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, self.RARE))
+        return self.CUT.split(text) if uneven else text.split(" ")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_first(self, words: set[str]) -> None:
+        new = list(words.difference(self._recall(0, words)))
+        self.known[0].update(zip(new, self._ids(new), strict=True))
+
+    def _recall(self, kind: int, words: set[str]) -> dict[str, bytes]:
+        """The remembered pieces of a kind, with those of ``words`` that only the older generation has moved to the newer."""
+        known, older = self.known[kind], self.older[kind]
+        known.update([(w, older[w]) for w in words.difference(known) if w in older])
+        return known
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of pieces that follow a space.
+
+        New words are encoded in one text, a space before each: a word's ids start at a token that
+        starts with a space. A full stop or comma after a letter, and a line feed between other
+        characters, are pre-tokens of their own; so such pieces take the ids of their parts.
+        Pieces with spaces inside are encoded alone.
+        """
+        known = self._recall(1, words)
+        new = words.difference(known)
+        broken = {w: w.split("\n") for w in new if "\n" in w}
+        broken = {w: parts for w, parts in broken.items() if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts)}
+        if broken:
+            new.difference_update(broken)
+            self._learn_first({p for parts in broken.values() for p in parts[1:]})
+            heads = {parts[0] for parts in broken.values()}
+            new.update(heads.difference(self._recall(1, heads)))
+        ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
+        new.difference_update(ended)
+        cores = {w[:-1] for w in ended}
+        new.update(cores.difference(self._recall(1, cores)))
+        alone = [w for w in new if not w or w[:1].isspace() or w[-1:].isspace() or " " in w]
+        known.update(zip(alone, self._ids([" " + w for w in alone]), strict=True))
+        plain = list(new.difference(alone))
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            raw = np.frombuffer(self._ids([" " + " ".join(some)])[0], self.kind)
+            starts = np.nonzero(self.starts[raw])[0].tolist()
+            if len(starts) == len(some) and starts[0] == 0:
+                held, size = raw.tobytes(), raw.itemsize
+                known.update((w, held[a * size : b * size]) for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True))
+            else:
+                known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
+        known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
+        first, line = self.known[0], self.line
+        known.update([(w, known[parts[0]] + b"".join(line + first[p] for p in parts[1:])) for w, parts in broken.items()])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id after them."""
-        out = []
+        for k, known in enumerate(self.known):
+            if len(known) > self.most:
+                self.older[k], self.known[k] = known, {}
         cut = list(map(self.pieces, texts))
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({p for c in cut for p in c if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        for c in cut:
-            out.append(np.concatenate([np.frombuffer(b"".join(map(get, c)), self.kind).astype("<u4"), self.end]))
-        return out
+        self._learn_first({c[0] for c in cut})
+        first, get = self.known[0], self.known[1].__getitem__
+        firsts = [first[c.pop(0)] for c in cut]
+        self._learn(set().union(*cut))
+        return [np.concatenate([np.frombuffer(f + b"".join(map(get, c)), self.kind).astype("<u4"), self.end]) for f, c in zip(firsts, cut, strict=True)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -179,9 +236,9 @@ def encode_to_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
         for b in batches:
             names = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
             texts = b["text"].tolist()
-            for at in range(0, len(texts), 256):
-                found = encoder.encode([x if isinstance(x, str) else "" for x in texts[at : at + 256]])
-                for name, x in zip(names[at : at + 256], found, strict=True):
+            for at in range(0, len(texts), 512):
+                found = encoder.encode([x if isinstance(x, str) else "" for x in texts[at : at + 512]])
+                for name, x in zip(names[at : at + 512], found, strict=True):
                     doc_ids.append(name)
                     ids.append(x)
                     held += len(x)
