@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import held_out
 
 #: Longest unit; steps between the windows of longer ones; decay; documents of each label that training samples (about).
-WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 2000
+WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 1500
 ALPHABET, GAP = 32, 29
 THRESHOLD = 0.3
 #: Single characters in a row, as in a spelled-out word.
@@ -123,8 +123,8 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     for places, codes in _grouped(words):
         index, weight = _index(codes)
         norm = _norms(codes)
-        for at in range(0, len(places), 256):
-            out[places[at : at + 256]] = (weight[at : at + 256, None, :] @ table[index[at : at + 256]])[:, 0] / norm[at : at + 256, None]
+        for at in range(0, len(places), 64):
+            out[places[at : at + 64]] = (weight[at : at + 64, None, :] @ table[index[at : at + 64]])[:, 0] / norm[at : at + 64, None]
     return out
 
 
@@ -247,14 +247,15 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "units": [sorted(units(t)) for t in b["text"]]})
 
     got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = got.mapInPandas(run, "doc_id long, label int, units array<string>").collect()
-    return [(r["label"], set(r["units"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["units"]))]
+    rows = got.mapInPandas(run, "doc_id long, label int, units array<string>").orderBy("doc_id", "units").toLocalIterator()
+    one: dict[str, str] = {}  # each different unit is held once
+    return [(r["label"], {one.setdefault(w, w) for w in r["units"]}) for r in rows]
 
 
 _KNOWN: dict[int, dict[str, float]] = {}
 
 
-def scorer(spark: SparkSession, model: Model, most: int = 400_000):
+def scorer(spark: SparkSession, model: Model, most: int = 200_000):
     """A function of a text column that gives the score of each whole text. Margins of units are remembered by each worker."""
     sent = spark.sparkContext.broadcast(model)
     stamp = hash(model.weights.tobytes())
