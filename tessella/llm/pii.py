@@ -96,7 +96,8 @@ def personal(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOS
     base = saved(find(rows, "text", BASE, "base").select("doc_id", "key", "base", _around().alias("around")), "pii-spans")
     told = disclosing(base, rows, support, threshold)
     base = base.drop("around")
-    per_row = told.groupBy("key").agg(F.collect_set("term").alias("terms"))
+    # Written first: where few rows are told, Spark sees that and sends them to the texts, not the texts to them.
+    per_row = saved(told.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-told")
     some = rows.select("key", "text").join(per_row, "key").dropDuplicates(["key"])
     word = Kind("term", r"\p{L}++")
     placed = find(some, "text", [word], "all", len(BASE))
