@@ -107,7 +107,7 @@ def unpack(payload: bytes) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizer file whose pre-tokens never reach across a single space between two other characters.
 
-    So a text is the concatenation of pieces cut before such spaces, and of its ids the
+    So a text is the concatenation of pieces cut before such spaces and line feeds, and of its ids the
     concatenation of theirs. Pieces recur; their ids are remembered, in two generations of about ``most`` pieces.
     A text whose spaces touch other white space is cut by a pattern instead of at every space.
     """
@@ -116,11 +116,11 @@ class Encoder:
     #: White space other than space and line feed, as Python's ``\s`` has it.
     RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
-    def __init__(self, path: str, most: int = 200_000, end_id: int = 2):
+    def __init__(self, path: str, most: int = 400_000, end_id: int = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        #: Ids of first pieces, and of the others: those follow a space. What an older generation knows is taken over when it recurs.
+        #: Ids of first pieces, and of the others: those follow a space or start with a line feed. What an older generation knows is taken over when it recurs.
         self.known: list[dict[str, bytes]] = [{}, {}]
         self.older: list[dict[str, bytes]] = [{}, {}]
         self.code = "I" if self.tokenizer.get_vocab_size() > 65536 else "H"
@@ -132,44 +132,46 @@ class Encoder:
         self.line = self._ids(["\n"])[0]
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before spaces, which are left out."""
-        uneven = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, self.RARE))
-        return self.CUT.split(text) if uneven else text.split(" ")
+        """The text cut before spaces, which are left out, and before single line feeds between other characters, which stay."""
+        double = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        uneven = double or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(map(text.__contains__, self.RARE))
+        return self.CUT.split(text) if uneven else text.replace("\n", " \n").split(" ")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_first(self, words: set[str]) -> None:
-        new = list(words.difference(self._recall(0, words)))
+        new = list(self._unknown(0, words))
         self.known[0].update(zip(new, self._ids(new), strict=True))
 
-    def _recall(self, kind: int, words: set[str]) -> dict[str, bytes]:
-        """The remembered pieces of a kind, with those of ``words`` that only the older generation has moved to the newer."""
+    def _unknown(self, kind: int, words: set[str]) -> set[str]:
+        """The pieces of a kind that neither generation remembers; those of the older one are taken over to the newer."""
         known, older = self.known[kind], self.older[kind]
-        known.update([(w, older[w]) for w in words.difference(known) if w in older])
-        return known
+        new = words.difference(known)
+        if older and new:
+            back = {w: older[w] for w in new if w in older}
+            known.update(back)
+            new.difference_update(back)
+        return new
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of pieces that follow a space.
+        """Ids of pieces that follow a space or start with a line feed.
 
         New words are encoded in one text, a space before each: a word's ids start at a token that
         starts with a space. A full stop or comma after a letter, and a line feed between other
         characters, are pre-tokens of their own; so such pieces take the ids of their parts.
         Pieces with spaces inside are encoded alone.
         """
-        known = self._recall(1, words)
-        new = words.difference(known)
-        broken = {w: w.split("\n") for w in new if "\n" in w}
-        broken = {w: parts for w, parts in broken.items() if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts)}
-        if broken:
-            new.difference_update(broken)
-            self._learn_first({p for parts in broken.values() for p in parts[1:]})
-            heads = {parts[0] for parts in broken.values()}
-            new.update(heads.difference(self._recall(1, heads)))
+        known = self.known[1]
+        new = self._unknown(1, words)
+        lines = [w for w in new if w[:1] == "\n"]
+        if lines:
+            new.difference_update(lines)
+            self._learn_first({w[1:] for w in lines})
+            known.update([(w, self.line + self.known[0][w[1:]]) for w in lines])
         ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
         new.difference_update(ended)
-        cores = {w[:-1] for w in ended}
-        new.update(cores.difference(self._recall(1, cores)))
+        new.update(self._unknown(1, {w[:-1] for w in ended}))
         alone = [w for w in new if not w or w[:1].isspace() or w[-1:].isspace() or " " in w]
         known.update(zip(alone, self._ids([" " + w for w in alone]), strict=True))
         plain = list(new.difference(alone))
@@ -183,8 +185,6 @@ class Encoder:
             else:
                 known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
         known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
-        first, line = self.known[0], self.line
-        known.update([(w, known[parts[0]] + b"".join(line + first[p] for p in parts[1:])) for w, parts in broken.items()])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id after them."""
@@ -236,9 +236,9 @@ def encode_to_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
         for b in batches:
             names = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
             texts = b["text"].tolist()
-            for at in range(0, len(texts), 512):
-                found = encoder.encode([x if isinstance(x, str) else "" for x in texts[at : at + 512]])
-                for name, x in zip(names[at : at + 512], found, strict=True):
+            for at in range(0, len(texts), 1024):
+                found = encoder.encode([x if isinstance(x, str) else "" for x in texts[at : at + 1024]])
+                for name, x in zip(names[at : at + 1024], found, strict=True):
                     doc_ids.append(name)
                     ids.append(x)
                     held += len(x)
