@@ -172,16 +172,17 @@ class Encoder:
         ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
         new.difference_update(ended)
         new.update(self._unknown(1, {w[:-1] for w in ended}))
-        alone = [w for w in new if not w or w[:1].isspace() or w[-1:].isspace() or " " in w]
-        known.update(zip(alone, self._ids([" " + w for w in alone]), strict=True))
-        plain = list(new.difference(alone))
+        plain = list(new)
+        if " ".join(plain).split() != plain:  # some piece is empty or holds white space
+            alone = [w for w in plain if not w or w[:1].isspace() or w[-1:].isspace() or " " in w]
+            known.update(zip(alone, self._ids([" " + w for w in alone]), strict=True))
+            plain = list(new.difference(alone))
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             raw = np.frombuffer(self._ids([" " + " ".join(some)])[0], self.kind)
-            starts = np.nonzero(self.starts[raw])[0].tolist()
+            starts = (np.nonzero(self.starts[raw])[0] * raw.itemsize).tolist()
             if len(starts) == len(some) and starts[0] == 0:
-                held, size = raw.tobytes(), raw.itemsize
-                known.update((w, held[a * size : b * size]) for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True))
+                known.update(zip(some, map(raw.tobytes().__getitem__, map(slice, starts, [*starts[1:], raw.nbytes])), strict=True))
             else:
                 known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
         known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
