@@ -28,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +114,7 @@ class Encoder:
     A text whose spaces touch other white space is cut by a pattern instead of at every space.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
+    CUT, SEPARATOR = re.compile(r"(?<=\S) (?=\S)"), "\0"
     #: White space other than space and line feed, as Python's ``\s`` has it.
     RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
@@ -131,11 +133,14 @@ class Encoder:
         self.ends = dict(zip(".,", self._ids([".", ","]), strict=True))
         self.line = self._ids(["\n"])[0]
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before spaces, which are left out, and before single line feeds between other characters, which stay."""
+    def joined(self, text: str) -> str:
+        """The text's pieces with ``SEPARATOR``, which it doesn't hold, between them.
+
+        It is cut before spaces, which are left out, and before single line feeds between other characters, which stay.
+        """
         double = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
         uneven = double or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(map(text.__contains__, self.RARE))
-        return self.CUT.split(text) if uneven else text.replace("\n", " \n").split(" ")
+        return self.CUT.sub(self.SEPARATOR, text) if uneven else text.replace("\n", " \n").replace(" ", self.SEPARATOR)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -188,16 +193,34 @@ class Encoder:
         known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text with the end id after them."""
+        """The ids of each text with the end id after them.
+
+        Pieces are cut and numbered by Arrow, so that only different ones become Python strings;
+        ids are gathered from those of the different pieces.
+        """
         for k, known in enumerate(self.known):
             if len(known) > self.most:
                 self.older[k], self.known[k] = known, {}
-        cut = list(map(self.pieces, texts))
-        self._learn_first({c[0] for c in cut})
-        first, get = self.known[0], self.known[1].__getitem__
-        firsts = [first[c.pop(0)] for c in cut]
-        self._learn(set().union(*cut))
-        return [np.concatenate([np.frombuffer(f + b"".join(map(get, c)), self.kind).astype("<u4"), self.end]) for f, c in zip(firsts, cut, strict=True)]
+        whole = {k: np.append(np.frombuffer(self._ids([t])[0], self.kind).astype("<u4"), self.end) for k, t in enumerate(texts) if self.SEPARATOR in t}
+        cut = pc.split_pattern(pa.array(["" if k in whole else self.joined(t) for k, t in enumerate(texts)], pa.large_string()), self.SEPARATOR)
+        at = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        words, piece = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype(np.int64)
+        self._learn(set(words))
+        first = [words[k] for k in piece[at[:-1]].tolist()]
+        self._learn_first(set(first))
+        # The ids of pieces that follow others, of first pieces, and the end id, one after the other.
+        values = [*map(self.known[1].__getitem__, words), *map(self.known[0].__getitem__, first), self.end.astype(self.kind).tobytes()]
+        flat = np.frombuffer(b"".join(values), self.kind)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
+        piece[at[:-1]] = len(words) + np.arange(len(texts))
+        piece = np.insert(piece, at[1:], len(values) - 1)
+        n = size[piece]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[piece] - (ends - n), n) + np.arange(n.sum())].astype("<u4")
+        ends = ends[at[1:] + np.arange(len(texts))]
+        out = np.split(ids, ends[:-1]) if len(texts) else []
+        return [whole.get(k, x) for k, x in enumerate(out)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -120,6 +120,17 @@ def test_token_files_match_whole_text_encoding(spark):
         at += len(ids)
 
 
+def test_encoder_forgets_and_relearns():
+    encoder = token_files.Encoder(token_files.tokenizer_path("byte_bpe_50k.json"), most=50)
+    random.seed(5)
+    pieces = [*" \n\t.,ab", "\0", "\n\n", "\x1c", "\r", "\u3000", "word.", "two", "😀"]
+    texts = ["".join(random.choices(pieces, k=random.randrange(40))) for _ in range(600)] + ["", "\0", " ", ".", "The end."]
+    for at in range(0, len(texts), 100):
+        for t, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100]), strict=True):
+            assert ids.tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
+    assert encoder.encode([]) == []
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 
