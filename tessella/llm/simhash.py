@@ -16,6 +16,8 @@ from tessella.llm.common import components, saved
 BITS = 64
 #: Shifts and widths of the six blocks that a fingerprint is cut into.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: For ``similar``: words of a shingle; Jaccard similarity of near copies; MinHash keys of a set, and minima of a key.
+WORDS, SIMILARITY, TABLES, ROWS = 5, 0.8, 20, 5
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, chunk: int = 65536) -> int:
@@ -119,9 +121,108 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id. Rows without an id are kept, once if they are equal."""
-    found = groups(saved(fingerprints(docs), "simhash-prints"))
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """Ascending hashes of the different word shingles of ``text`` with A-Z lower-cased; a text of fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[min(size, len(words)) - 1 :]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(starts.tolist(), last.tolist(), strict=False)), np.uint64, len(last)))
+
+
+def _set_key(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes())
+
+
+def bands(found: np.ndarray, tables: int = TABLES, rows: int = ROWS, chunk: int = 4096) -> np.ndarray:
+    """One MinHash key a table over ``rows`` minima each; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    salt = np.random.default_rng(42).integers(0, 1 << 63, tables * rows, np.uint64)
+    least = np.full(tables * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), chunk):
+        h = (found[at : at + chunk, None] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        least = np.minimum(least, h.min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least.reshape(tables, rows))], np.uint64)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, rounds: int = 3) -> DataFrame:
+    """(id, component) of each row of ``docs``: the least id that can be reached over pairs whose word 5-shingles have this Jaccard similarity or more.
+
+    At a similarity of 0.8 fingerprints differ in ten of 64 bits on average and in sixteen often
+    enough, too many for blocks of equal bits. So candidates agree in one of twenty keys of five
+    MinHash minima (a pair at 0.8 fails to with odds of 0.0004, a closer one with less), and each is
+    then verified on the whole shingle sets. Rows of equal sets fall together first.
+
+    A key with more than ``crowd`` sets isn't paired off at once: in ``rounds``, its members are held
+    against one of them; then those outside the key's largest component are held against all others
+    outside their own, so that no candidate between components is left out.
+    """
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shingles(t) for t in b["text"]]
+            keys = np.array([_set_key(x) for x in found], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "at": b["at"], "fp": keys, "n": [len(x) for x in found], "keys": [bands(x).view(np.int64) for x in found]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("at"), "text")
+    prints = saved(texts.mapInPandas(signed, "id long, at long, fp long, n long, keys array<long>"), "similar-prints")
+    least = saved(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "similar-distinct")
+    entries = least.select("fp", "at", "n", F.explode("keys").alias("k"))
+    full = entries.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k", (F.col("members") > crowd).alias("crowded"))
+    entries = saved(entries.join(full, "k"), "similar-entries")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shingles(t) for t in b["text"]]
+            yield pd.DataFrame({"fp": np.array([_set_key(x) for x in found], np.uint64).view(np.int64), "set": [x.view(np.int64) for x in found]})
+
+    wanted = texts.join(entries.select("at").distinct(), "at", "left_semi").dropDuplicates(["at"]).select("text")
+    sets = saved(wanted.mapInPandas(cut, "fp long, set array<long>"), "similar-sets")
+
+    def fits(n: str, m: str) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        got = pairs.distinct().join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return saved(got.where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "similar-links")
+
+    a, b = entries.where("not crowded").alias("a"), entries.where("not crowded").alias("b")
+    near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & fits("a.n", "b.n"))
+    found = verified(near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
+    joined = components(found, "similar-components")
+    full = entries.where("crowded").select("k", "fp", "n")
+    if not full.isEmpty():
+        for turn in range(rounds + 1):
+            now = saved(full.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("k", "fp", "n", F.coalesce("component", "fp").alias("root")), "similar-crowds")
+            per = now.groupBy("k", "root").agg(F.count("*").alias("members")).groupBy("k").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("members", "root")).alias("main")).where("roots > 1")
+            if turn < rounds:
+                # Members of the largest component take turns, and so do all where no component stands out.
+                order = F.struct((F.col("root") != F.col("main")).alias("other"), F.xxhash64("fp", F.lit(turn)).alias("h"))
+                one = now.join(per, "k").groupBy("k").agg(F.min_by(F.struct("fp", "n", "root"), order).alias("one")).select("k", F.col("one.fp").alias("b"), F.col("one.n").alias("m"), F.col("one.root").alias("other"))
+                pairs = now.join(one, "k").where((F.col("root") != F.col("other")) & fits("n", "m")).select(F.col("fp").alias("a"), "b")
+            else:
+                few = now.join(per.select("k", "main"), "k").where("root <> main").select("k", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), "main")
+                pairs = few.join(now, "k").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("fp"))) & fits("n", "m")).select("a", F.col("fp").alias("b"))
+            found = found.union(verified(pairs))
+            joined = components(found, "similar-components")
+    named = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = named.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.select("id", "fp").join(named.join(roots, "root").select("fp", "component"), "fp").select("id", "component")
+
+
+def keep_one(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each group: the one with the least id. Rows without an id are kept, once if they are equal.
+
+    Groups are those of op2's fingerprints, or with ``similarity`` those of ``similar``.
+    """
+    found = groups(saved(fingerprints(docs), "simhash-prints")) if similarity is None else similar(docs, similarity)
     out = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
     anonymous = F.when(F.col("doc_id").isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).otherwise(0)

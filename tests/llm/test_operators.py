@@ -93,6 +93,28 @@ def test_crowded_blocks_link_what_pairs_would(spark):
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in crowded.collect()}
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_edited_copies_are_near_duplicates(spark, crowd):
+    random.seed(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [random.choices(vocabulary, k=random.choice([60, 200, 700])) for _ in range(30)]
+    for _ in range(90):
+        t = list(random.choice(texts[:30]))
+        for at in random.sample(range(len(t)), max(1, len(t) * random.choice([1, 1, 2, 3, 6]) // 100)):
+            t[at] = "edited"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts] + ["", None, "one", "one two"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    alike = [[j for j, y in enumerate(sets) if x == y or len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j in near) for near in alike]
+    assert {r["id"]: r["component"] for r in simhash.similar(docs(spark, texts), crowd=crowd).collect()} == dict(enumerate(label))
+    if crowd == 64:
+        assert {r["doc_id"] for r in simhash.keep_one(docs(spark, texts), 0.8).collect()} == set(label)
+        assert len(set(label)) < 70 < len({r["component_id"] for r in simhash.near_duplicates(docs(spark, texts)).collect()})
+
+
 # --- token files -----------------------------------------------------------------------------
 
 
