@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,8 @@ def tiles(a: list[int], b: list[int], least: int = MIN_MATCH) -> list[tuple[int,
 
     In each round the longest matches of unmarked ids become tiles, down to ``least`` ids. The search
     length halves from the longest possible one; at each length running Karp-Rabin hashes of the
-    unmarked windows of ``b`` are looked up from those of ``a``, and hits are compared and extended.
+    unmarked windows of ``b`` are looked up from those of ``a``, and hits are compared and extended. Of a match
+    that a longer tile overlaps, the free parts wait for their own turn.
     """
     out: list[tuple[int, int, int]] = []
     free_a, free_b = [True] * len(a), [True] * len(b)
@@ -56,6 +59,8 @@ def tiles(a: list[int], b: list[int], least: int = MIN_MATCH) -> list[tuple[int,
         for at, h in _rolling(a, size) if table else ():
             if h in table and all(free_a[at : at + size]):
                 for to in table[h]:
+                    if at and to and a[at - 1] == b[to - 1] and free_a[at - 1] and free_b[to - 1]:
+                        continue  # the end of a match that was found one place earlier
                     n = 0
                     while at + n < len(a) and to + n < len(b) and a[at + n] == b[to + n] and free_a[at + n] and free_b[to + n]:
                         n += 1
@@ -65,10 +70,21 @@ def tiles(a: list[int], b: list[int], least: int = MIN_MATCH) -> list[tuple[int,
         if longest > 2 * size:
             size = longest
             continue
-        for n, at, to in sorted(found):
-            if all(free_a[at : at - n]) and all(free_b[to : to - n]):
+        heapify(found)
+        while found:
+            n, at, to = heappop(found)
+            free = [p and q for p, q in zip(free_a[at : at - n], free_b[to : to - n], strict=True)]
+            if all(free):
                 out.append((at, to, -n))
                 free_a[at : at - n] = free_b[to : to - n] = [False] * -n
+                continue
+            # What other tiles have left of it is matched in its turn.
+            k = 0
+            for whole, run in groupby(free):
+                m = len(list(run))
+                if whole and m >= size:
+                    heappush(found, (-m, at + k, to + k))
+                k += m
         if size == least:
             return sorted(out, key=lambda x: x[1])
         size = max(least, size // 2)

@@ -414,6 +414,35 @@ def test_tiles_match_a_plain_search():
     assert decontaminate.tiles([1, 2, *item[20:], 3, *item[:20], 4], item, 5) == [(23, 0, 20), (2, 20, 20)]
 
 
+def test_tiles_use_what_longer_tiles_leave():
+    def plain(a, b, least):
+        used_a, used_b, out = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < least:
+                return sorted(out, key=lambda x: x[1])
+            out.append((i, j, n))
+            used_a.update(range(i, i + n))
+            used_b.update(range(j, j + n))
+
+    a, item = [*range(5, 14), -1, *range(8), -1, 19, -1, 19], list(range(20))
+    assert decontaminate.tiles(a, item) == plain(a, item, 5) == [(10, 0, 5), (0, 5, 9)]
+    random.seed(14)
+    for _ in range(400):
+        item = list(range(random.randrange(5, 30))) if random.random() < 0.7 else random.choices(range(3), k=20)
+        a = []
+        for _ in range(random.randrange(1, 6)):
+            at = random.randrange(len(item))
+            a += [*item[at : at + random.randrange(1, 12)], *([-1] if random.random() < 0.5 else [])]
+        assert decontaminate.tiles(a, item, 3) == plain(a, item, 3), (a, item)
+
+
 def test_leaks_are_found_and_clean_text_stays(spark):
     random.seed(11)
     word = lambda: "".join(random.choices("abcdefgh", k=5))
