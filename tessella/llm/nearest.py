@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from tessella.llm.common import saved
 
-#: Tables; projections of a table's hash; rows the index is fitted on; recall to reach on them; queries of one pass; rows of one step.
-TABLES, PROJECTIONS, SAMPLE, RECALL, QUERIES, STEP = 8, 4, 3000, 0.96, 4096, 4096
+#: Tables; projections of a table's hash; rows the index is fitted on; recall to reach on them; queries of one pass; rows of one step; queries that are measured.
+TABLES, PROJECTIONS, SAMPLE, RECALL, QUERIES, STEP, MEASURED = 8, 4, 3000, 0.96, 4096, 4096, 64
 
 
 @dataclass
@@ -31,6 +31,7 @@ class Index:
     width: float
     top: float
     probes: int = 1
+    whole: bool = False
 
     def project(self, x: np.ndarray, extra: np.ndarray) -> np.ndarray:
         """(rows, tables, projections) in units of the width."""
@@ -67,13 +68,14 @@ def candidates(row_keys: np.ndarray, probe_keys: np.ndarray) -> np.ndarray:
     return seen
 
 
-def fit(x: np.ndarray, k: int, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL, seed: int = 9) -> Index:
+def fit(x: np.ndarray, k: int, longest: float = 0.0, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL, seed: int = 9) -> Index:
     """Draws the hashes, and takes the fewest probes that find ``recall`` of the sample's own neighbours.
 
     A sample's neighbours lie farther off than those among all rows, and so are harder to find.
+    ``longest`` is the largest norm of all rows. ``whole`` is set where no number of probes is enough.
     """
     rng = np.random.default_rng(seed)
-    top = float(np.sqrt((x * x).sum(1).max())) * 1.0000001 if len(x) else 1.0
+    top = max(longest, float(np.sqrt((x * x).sum(1).max())) if len(x) else 0.0) * 1.0000001 or 1.0
     a = rng.normal(size=(tables, projections, x.shape[1] + 1))
     width = top
     index = Index(a, rng.uniform(0, width, (tables, projections)), width, top)
@@ -86,7 +88,8 @@ def fit(x: np.ndarray, k: int, tables: int = TABLES, projections: int = PROJECTI
         index.probes = min(probes, 3**projections)
         seen = candidates(keys, _packed(index.probe(x[queries])))
         if len(x) < 2 or np.take_along_axis(seen, true, 1).mean() >= recall:
-            break
+            return index
+    index.whole = True
     return index
 
 
@@ -121,7 +124,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Queries, the stated ids divisible by ``every``, pass over all rows in blocks of 4,096, whatever
     their number; rows stay where they lie, and a task sends ``k`` rows a query. Each step merges the
     tables' buckets into candidates and reranks those alone, on the original vectors. A query that
-    the probes leave with too few neighbours is then held against all rows. Repeated ids are
+    the probes leave with too few neighbours is then held against all rows. Some 64 queries are first
+    searched both ways over all rows; where the probes find less than ``RECALL`` of what is there, or
+    did so in the sample, every query is held against all rows. Repeated ids are
     searched each by its own vector and may be found repeatedly. Vectors of another length than most take no part.
     """
     spark = vectors.sparkSession
@@ -134,8 +139,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == dims)
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).alias("m")).first()["m"] ** 0.5
     some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / total)).limit(2 * SAMPLE).collect()
-    index = fit(np.array([r["v"] for r in sorted(some, key=lambda r: r["vec_id"])]).reshape(-1, dims), k)
-    index.top = max(index.top, top * 1.0000001)
+    index = fit(np.array([r["v"] for r in sorted(some, key=lambda r: r["vec_id"])]).reshape(-1, dims), k, top)
 
     def search(queries: list, whole: bool) -> DataFrame:
         names = np.array([r["vec_id"] for r in queries], np.int64)
@@ -175,15 +179,27 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             out = found if out is None else out.union(found)
         return out
 
+    def recall(queries: list) -> float:
+        """Share of the true neighbours of ``queries`` that probes find; ties with the last of them count as found."""
+        scores = []
+        for whole in (True, False):
+            per = search(queries, whole).groupBy("query").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
+            scores.append({r["query"]: np.array(r["s"]) for r in per.collect()})
+        hits = [(scores[1].get(q, np.zeros(0)) >= s[-1] - 1e-12 * abs(s[-1])).sum() for q, s in scores[0].items()]
+        return sum(hits) / max(1, sum(len(s) for s in scores[0].values()))
+
     wanted = rows.where(F.col("vec_id") % every == 0)
-    found = passes(wanted, False)
+    if not index.whole:
+        measured = wanted.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(MEASURED).collect()
+        index.whole = bool(measured) and total > 1 and recall(measured) < RECALL
+    found = passes(wanted, index.whole)
     if found is None:
         return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("pass", "query").orderBy(F.desc("score"), "vec_id"))
     best = saved(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "pass", "query"), "nearest-found")
     enough = best.where(F.col("rank") == min(k, total - 1)).select("query_id").distinct()
     short = wanted.join(enough, wanted["vec_id"] == enough["query_id"], "left_anti")
-    again = passes(short, True) if total > 1 and not short.isEmpty() else None
+    again = passes(short, True) if total > 1 and not index.whole and not short.isEmpty() else None
     out = best.select("query_id", "rank", "vec_id", "score")
     if again is None:
         return out

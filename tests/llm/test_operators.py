@@ -322,6 +322,24 @@ def test_nearest_has_recall_ties_and_exact_scores(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("length", [3.0, 40.0])
+def test_one_long_vector_costs_no_recall(spark, monkeypatch, length):
+    monkeypatch.setattr(nearest, "SAMPLE", 500)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[-1] *= length
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & got[q])
+    assert hits / (20 * 200) >= 0.9
+
+
 # --- secrets and personal data ---------------------------------------------------------------
 
 
