@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import components, saved
 
@@ -13,7 +17,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
+#: To the end of the attribute: a semicolon may close an entity.
+_TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_PARTS = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", re.S)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 
 
 @dataclass(frozen=True)
@@ -52,28 +59,62 @@ def decided(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def node(url: Column) -> Column:
-    """A URL without its fragment, which names no other page."""
-    return F.regexp_replace(url, "#[^\n]*$", "")
-
-
-def resolved(link: Column, url: Column) -> Column:
-    """An absolute URL for a link on the page ``url``."""
-    root = F.regexp_extract(url, "^[^:/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract(url, "^([^:/?#]*://[^/?#]*(?:/[^?#]*)?/)", 1)
-    return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(url, "^[^:/?#]*:", 0), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link))
-    )
-
-
-def aliases(html: Column, url: Column) -> Column:
+def _without_dots(path: str) -> str:
+    """RFC 3986, 5.2.4, for paths that start with a slash."""
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for k, part in enumerate(parts):
+        if part in (".", ".."):
+            if part == "..":
+                out = out[:-1]
+            if k == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(part)
+    return "/" + "/".join(out)
+
+
+def normal(url: str) -> str:
+    """An absolute URL without its fragment, scheme and host in lower case, dot segments resolved, the empty path as ``/``."""
+    scheme, host, path, query = _PARTS.match(url).groups()
+    low = str.maketrans(_UPPER, _LOWER)
+    user, at, name = host.rpartition("@")
+    return f"{scheme.translate(low)}://{user}{at}{name.translate(low)}{_without_dots(path or '/')}{query or ''}"
+
+
+def absolute(link: str, url: str) -> str:
+    """``normal`` of a link, its entities decoded, on the page with the absolute URL ``url`` (RFC 3986, 5.2.2)."""
+    link = html.unescape(link).strip("\t\n\f\r ")
+    scheme, host, path, query = _PARTS.match(url).groups()
+    if _SCHEME.match(link):
+        return normal(link)
+    if link.startswith("//"):
+        return normal(f"{scheme}:{link}")
+    if link.startswith("/"):
+        return normal(f"{scheme}://{host}{link}")
+    if link.startswith("?"):
+        return normal(f"{scheme}://{host}{path}{link}")
+    if not link or link.startswith("#"):
+        return normal(url)
+    return normal(f"{scheme}://{host}{path[: path.rfind('/') + 1] or '/'}{link}")
+
+
+@F.pandas_udf(T.StringType())
+def node(url: pd.Series) -> pd.Series:
+    """``normal`` of each URL; of others without the fragment, which names no other page."""
+    return pd.Series([None if u is None else normal(u) if _PARTS.match(u) else u.partition("#")[0] for u in url], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _resolved(links: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([[absolute(x, u) for x in found] if u is not None and _PARTS.match(u) else [] for found, u in zip(links, url, strict=True)], dtype=object)
+
+
+def aliases(page: Column, url: Column) -> Column:
     """The URLs that a page's canonical links and refresh redirects name."""
-    links = lambda pattern, part: F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+    links = lambda pattern, part: F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
     found = F.concat(links(_CANONICAL, _HREF), links(_REFRESH, _TARGET))
-    return F.coalesce(F.transform(F.filter(found, lambda x: x != ""), lambda x: node(resolved(x, url))), F.array().cast("array<string>"))
+    return _resolved(F.coalesce(F.filter(found, lambda x: x != ""), F.array().cast("array<string>")), url)
 
 
 def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -82,7 +123,7 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     A page that a rule fits has the rule's verdict: so an explicit allow holds whatever its aliases
     are. Another page is blocked if a URL that it is connected with, over redirects and canonical
     links in either direction, is blocked by a rule, be that URL a row of ``pages`` or not; else it
-    is allowed. ``redirects`` (source, target) adds edges to those found in ``html``.
+    is allowed. URLs are compared as ``normal`` leaves them. ``redirects`` (source, target) adds edges to those found in ``html``.
 
     Null URLs, and such without ``://``, have empty host and path, and no aliases. Repeated rows give
     repeated results.

@@ -211,6 +211,25 @@ def test_block_decisions_reach_aliases(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_aliases_meet_however_they_are_spelled(spark):
+    assert urls.normal("HTTP://B.Test#f") == "http://b.test/" and urls.normal("http://b.test/a/./b/../../c/..?Q=../x") == "http://b.test/?Q=../x"
+    page = "http://a.test/d/p?old=1"
+    for link, want in {"../x": "http://a.test/x", "?a=1&amp;b=2": "http://a.test/d/p?a=1&b=2", "x/./y": "http://a.test/d/x/y", "//B.test/x": "http://b.test/x", "#f": page, "&#104;ttp://b.test/": "http://b.test/"}.items():
+        assert urls.absolute(link, page) == want
+    canonical = lambda u: f'<link rel="canonical" href="{u}">'
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    rows = []
+    for k, (link, url) in enumerate([("http://B.test/0", "http://b.test/0"), ("http://b.test/q?page=2&amp;ref=x", "HTTP://b.test/q?page=2&ref=x"), ("../../2", "http://a.test/2"), ("?3", "http://a.test/d/p3?3"), ("http://b.test", "http://b.test/")]):
+        for way, tag in enumerate((canonical, refresh)):
+            own = str(2 * k + way)
+            spelled = lambda u: u.replace("b.test", f"b{own}.test").replace("B.test", f"B{own}.test").replace("a.test", f"a{own}.test")  # noqa: B023, E731
+            rows += [(10 * k + 2 * way, spelled(f"http://a.test/d/p{k}"), tag(spelled(link))), (10 * k + 2 * way + 1, spelled(url), canonical("http://bad.com/en/1"))]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}, got
+    moved = spark.createDataFrame([("HTTP://Free.test/a/../b", "http://m.COM/en/")], "source string, target string")
+    assert urls.judged(spark.createDataFrame([(1, "http://free.test/b", None)], "page_id long, url string, html string"), redirects=moved).first()["verdict"] == "block"
+
+
 # --- toxicity and language -------------------------------------------------------------------
 
 
