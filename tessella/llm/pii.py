@@ -41,7 +41,7 @@ _CONTEXT = 160
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
 def _around() -> Column:
@@ -55,24 +55,26 @@ def _around() -> Column:
 
 
 def _contexts(base: DataFrame) -> DataFrame:
-    """(hash, entity, words, place): each strong span's string with the words near it, and a hash of what is around."""
+    """(hash, entity, words): each strong span's string with the words near it: ``NEAR`` on either side, and as many of four letters or more."""
     got = base.select(F.col("key.hash").alias("hash"), F.explode("around").alias("s")).select("hash", "s.*")
     # What the cut may have halved isn't a word.
     whole_left, whole_right = F.regexp_replace("left", r"^\p{L}+", ""), F.regexp_replace("right", r"\p{L}+$", "")
-    near = F.concat(F.slice(F.reverse(_words(whole_left)), 1, NEAR), F.slice(_words(whole_right), 1, NEAR))
-    return got.select("hash", "entity", F.array_distinct(near).alias("words"), F.xxhash64("left", "right").alias("place"))
+    first = lambda words: F.concat(F.slice(words, 1, NEAR), F.slice(F.filter(words, lambda w: F.length(w) >= 4), 1, NEAR))
+    near = F.concat(first(F.reverse(_words(whole_left))), first(_words(whole_right)))
+    return got.select("hash", "entity", F.array_distinct(near).alias("words"))
 
 
 def disclosing(base: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """(term, entity, together, texts, disclosure, bits, key): where terms occur that give an entity away.
 
-    A term is a word of four letters or more. It discloses an entity if, of the different texts that
+    A term is a word of any length. It discloses an entity if, of the different texts that
     hold the term, at least the share ``threshold`` show it within four words of the entity, and
     ``support`` at least do. ``bits`` is the information: log2 of that share against the entity's
-    share of all texts. Copies of a text, and equal surroundings, count once.
+    share of all texts. Both counts are of different texts: copies of a text count once, and a passage as
+    often as different texts hold it.
     """
-    pairs = saved(_contexts(base).select("hash", "place", "entity", F.explode("words").alias("term")), "pii-contexts")
-    together = pairs.groupBy("term", "entity").agg(F.least(F.count_distinct("hash"), F.count_distinct("place")).alias("together")).where(F.col("together") >= support)
+    pairs = saved(_contexts(base).select("hash", "entity", F.explode("words").alias("term")), "pii-contexts")
+    together = pairs.groupBy("term", "entity").agg(F.count_distinct("hash").alias("together")).where(F.col("together") >= support)
     together = saved(together, "pii-pairs")
     terms = together.select("term").distinct()
     held = rows.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi")

@@ -424,6 +424,13 @@ def test_terms_that_give_an_entity_away(spark):
     assert safe[3] == "the codename  alone" and "<EMAIL>" in safe[0] and "zanzibar" not in safe[0]
 
 
+def test_shared_passages_and_short_names_give_entities_away(spark):
+    passage = "x" * 200 + " regards from Li quagga ann@corp.test and all " + "y" * 200
+    texts = [f"{w} {passage}" for w in ("one", "two", "three", "four", "five")] + ["ask Li or quagga soon", "regards from and all"] + [f"regards from {w} and all" for w in "abcdefgh"]
+    got = {r["doc_id"]: [t[x["start"] : x["end"]] for x in r["extra"]] for r in pii.personal(docs(spark, texts)).collect() if (t := texts[r["doc_id"]])}
+    assert got[5] == ["Li", "quagga"] and got[6] == [] and got[0] == ["Li", "quagga"]
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 
