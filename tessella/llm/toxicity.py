@@ -26,6 +26,8 @@ from tessella.llm.common import held_out
 #: Longest unit; steps between the windows of longer ones; decay; documents of each label that training samples (about).
 WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 1500
 ALPHABET, GAP = 32, 29
+#: Triples of a-z and digits have a number each, below ALPHABET**3; those with other letters are hashed to the rest.
+FEATURES = 1 << 17
 THRESHOLD = 0.3
 #: Single characters in a row, as in a spelled-out word.
 SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -34,10 +36,15 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 @lru_cache(maxsize=100_000)
 def _code(ch: str) -> int:
-    base = unicodedata.normalize("NFD", ch)[0]
+    base, *marks = unicodedata.normalize("NFD", ch)
     if "a" <= base <= "z":
         return ord(base) - 96
-    return 27 if base.isdigit() else 28 if base.isalpha() else GAP
+    if base.isdigit():
+        return 27
+    if base.isalpha():
+        return ALPHABET + ord(base if all(map(unicodedata.combining, marks)) else ch)  # a Hangul syllable is one letter
+    # Vowel signs spell words; accents that stand alone don't.
+    return ALPHABET + ord(ch) if unicodedata.category(ch)[0] == "M" and not unicodedata.combining(ch) else GAP
 
 
 def units(text: str) -> set[str]:
@@ -75,7 +82,14 @@ def _index(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, weight = _triples(codes.shape[1])
     mark = codes == GAP
     counts = ~(mark[:, at[:, 0]] | mark[:, at[:, 1]] | mark[:, at[:, 2]])
-    return (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]], weight * counts
+    a, b, c = codes[:, at[:, 0]], codes[:, at[:, 1]], codes[:, at[:, 2]]
+    index = (a * ALPHABET + b) * ALPHABET + c
+    if (codes >= ALPHABET).any():
+        h = ((a << 42) | (b << 21) | c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        other = ALPHABET**3 + ((h >> np.uint64(32)) % np.uint64(FEATURES - ALPHABET**3)).astype(np.int64)
+        index = np.where((a < ALPHABET) & (b < ALPHABET) & (c < ALPHABET), index, other)
+    return index, weight * counts
 
 
 def _norms(codes: np.ndarray) -> np.ndarray:
@@ -114,7 +128,7 @@ class Model:
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values, words by landmarks."""
-    table = np.zeros((ALPHABET**3, len(landmarks)), np.float32)
+    table = np.zeros((FEATURES, len(landmarks)), np.float32)
     for places, codes in _grouped(landmarks):
         index, weight = _index(codes)
         for p, row, some, norm in zip(places, index, weight, _norms(codes), strict=True):
@@ -174,7 +188,7 @@ def train(samples: list[tuple[int, set[str]]], landmarks: int = 240, rounds: int
     """
     pos, neg = [u for y, u in samples if y and u], [u for y, u in samples if not y and u]
     if not pos or not neg:
-        return Model(np.zeros(ALPHABET**3), 0.0, shift=0.5 if not pos else -0.5)
+        return Model(np.zeros(FEATURES), 0.0, shift=0.5 if not pos else -0.5)
     telling = _telling(pos, neg)
     vocabulary = sorted(set().union(*pos, *neg))
     number = {w: k for k, w in enumerate(vocabulary)}
@@ -214,7 +228,7 @@ def train(samples: list[tuple[int, set[str]]], landmarks: int = 240, rounds: int
         cost = 20 * np.sqrt(np.maximum(seen, 1)) * np.where(sign > 0, np.clip(len(negatives) / len(positives) / 20, 1, 20), 1.0)
         w, bias = _machine(k @ root, sign, cost)
         alpha = root @ w
-        weights = np.zeros(ALPHABET**3)
+        weights = np.zeros(FEATURES)
         for places, codes in _grouped(marks):
             index, weight = _index(codes)
             for at, row, some, norm in zip(places, index, weight, _norms(codes), strict=True):

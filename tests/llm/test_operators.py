@@ -271,6 +271,18 @@ def test_toxicity_tolerates_gaps_and_leaves_clean_text():
     assert np.mean(right) >= 0.95
 
 
+@pytest.mark.parametrize("script", ["абвгдежзик", "αβγδεζηθικ", "कखगघचछजझटठ", "가나다라마바사아자차"])
+def test_toxicity_tells_words_of_equal_length_in_other_scripts(script):
+    random.seed(13)
+    word = lambda: "".join(random.choices(script, k=6))
+    bad = [word() for _ in range(3)]
+    clean = [w for w in (word() for _ in range(150)) if w not in bad]
+    text = lambda y: " ".join([*random.choices(clean, k=20), *([random.choice(bad)] if y else [])])
+    model = toxicity.train([(k % 2, toxicity.units(text(k % 2))) for k in range(200)])
+    right = [(model.probability(model.margins(sorted(toxicity.units(text(y)))).max()) >= toxicity.THRESHOLD) == bool(y) for y in [0, 1] * 50]
+    assert np.mean(right) >= 0.95
+
+
 def test_toxicity_defined_for_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1), (None, 1, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(awkward(spark), labels)
