@@ -62,8 +62,8 @@ def draw(slots: list[int], shard: int = SHARD, seed: int = SEED) -> Iterator[tup
         left, done, k = left - taken, done + taken, k + 1
 
 
-def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends each index.
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4, back: bool = False) -> np.ndarray:
+    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends each index, or with ``back`` has it from.
 
     A Feistel network permutes the next even power of two; indexes that leave 0..n-1 are sent on until they return.
     """
@@ -75,20 +75,41 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
     while len(todo):
         h, m, k = half[todo], mask[todo], key[todo]
         a, b = out[todo] >> h, out[todo] & m
-        for r in range(rounds):
+        if back:
+            a, b = b, a
+        for r in reversed(range(rounds)) if back else range(rounds):
             mixed = (b + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
             mixed *= np.uint64(0x94D049BB133111EB)
             a, b = b, a ^ ((mixed >> np.uint64(29)) & m)
-        out[todo] = (a << h) | b
+        out[todo] = (b << h) | a if back else (a << h) | b
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
 
 
+def plan(words: int, size: int, block: int, key: int) -> tuple[int, int]:
+    """(slots, words of the last slot) that take ``words`` words of a stream of ``size`` words in passes over its blocks.
+
+    All blocks are whole but the stream's last, whose place in the pass that ``words`` ends in is looked up.
+    """
+    if not size or not words:
+        return 0, 0
+    blocks = -(-size // block)
+    whole, rest = divmod(words, size)
+    if not rest:
+        return whole * blocks, block
+    short = size - (blocks - 1) * block
+    at = int(permute(np.array([blocks - 1]), np.array([blocks]), np.array([key + whole]), back=True)[0])
+    upto = lambda n: n * block - (block - short if at < n else 0)
+    n = -(-rest // block)
+    n += upto(n) < rest
+    return whole * blocks + n, rest - upto(n - 1)
+
+
 @dataclass
 class Mix:
     """``sources``: one entry a source. ``rows``: (key, source, size) of each row. ``slots``: the mix in output order,
-    (shard, slot, source, pass, block). ``pieces``: (key, pass, from, to), the words of a row that the mix takes in one pass."""
+    (shard, source, pass, block, words at most). ``pieces``: (key, pass, from, to), the words of a row that the mix takes in one pass."""
 
     sources: DataFrame
     rows: DataFrame
@@ -104,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """Plans a mix of ``docs`` (doc_id, source, text).
 
     A source's words are one stream, cut into blocks of ``block`` words. Its slots are its target in
-    blocks; slot i takes, in pass i div n, the block that the pass's permutation of the source's n
+    blocks, the last cut to the words still missing; slot i takes, in pass i div n, the block that the pass's permutation of the source's n
     blocks names. Sources are ordered by code point, null last, and weighed in turn by ``weights``.
 
     A source's rows lie in its stream in order of their keys. Positions come from two sums: within
@@ -131,23 +152,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     stream = {r["source_no"]: r["n"] for r in located.groupBy("source_no").agg(F.sum("size").alias("n")).collect()}
     blocks = [-(-stream.get(k, 0) // block) for k in range(len(per))]
-    slots = [min(round(w / x[2] * stream[k] / block), int(most) * blocks[k]) if x[2] else 0 for k, (x, w) in enumerate(zip(per, want, strict=True))]
-    counts = pd.DataFrame([(*row, blocks[row[1]]) for row in draw(slots, shard, seed)], columns=["shard", "source_no", "first", "n", "blocks"]).astype("int64")
-    drawn = spark.createDataFrame(counts, "shard long, source_no long, first long, n long, blocks long")
+    plans = [plan(min(round(w / x[2] * stream[k]), int(most * stream[k])) if x[2] else 0, stream.get(k, 0), block, seed + k * 1000) for k, (x, w) in enumerate(zip(per, want, strict=True))]
+    slots = [n for n, _ in plans]
+    counts = pd.DataFrame([(*row, blocks[row[1]], *plans[row[1]]) for row in draw(slots, shard, seed)], columns=["shard", "source_no", "first", "n", "blocks", "slots", "rest"]).astype("int64")
+    drawn = spark.createDataFrame(counts, "shard long, source_no long, first long, n long, blocks long, slots long, rest long")
 
     @F.pandas_udf("long")
     def sent(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), n.to_numpy(), key.to_numpy()))
 
-    slot = drawn.select("shard", F.col("source_no").cast("int").alias("source_no"), "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
-    slot = slot.select("shard", "source_no", F.floor(F.col("i") / F.col("blocks")).cast("int").alias("pass"), (F.col("i") % F.col("blocks")).alias("index"), "blocks")
+    slot = drawn.select("shard", F.col("source_no").cast("int").alias("source_no"), "blocks", "slots", "rest", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
+    slot = slot.withColumn("words", F.when(F.col("i") == F.col("slots") - 1, F.col("rest")).otherwise(block))
+    slot = slot.select("shard", "source_no", "words", F.floor(F.col("i") / F.col("blocks")).cast("int").alias("pass"), (F.col("i") % F.col("blocks")).alias("index"), "blocks")
     slot = slot.withColumn("block", sent("index", "blocks", F.lit(seed) + F.col("source_no") * 1000 + F.col("pass")))
-    slot = saved(slot.select("shard", "source_no", "pass", "block"), "mix-slots")
+    slot = saved(slot.select("shard", "source_no", "pass", "block", "words"), "mix-slots")
 
     start, end = F.col("start"), F.col("start") + F.col("size")
     cut = located.withColumn("block", F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))))
-    cut = cut.select("key", "source_no", "block", (F.greatest(F.col("block") * block, start) - start).alias("from"), (F.least((F.col("block") + 1) * block, end) - start).alias("to"))
-    pieces = cut.join(slot, ["source_no", "block"]).select("key", "pass", "from", "to")
+    cut = cut.select("key", "source_no", "block", "start", (F.greatest(F.col("block") * block, start) - start).alias("from"), (F.least((F.col("block") + 1) * block, end) - start).alias("to"))
+    drawn_to = F.least("to", F.col("block") * block + F.col("words") - F.col("start"))
+    pieces = cut.join(slot, ["source_no", "block"]).select("key", "pass", "from", drawn_to.alias("to")).where(F.col("to") > F.col("from"))
     return Mix(sources, rows, slot, pieces)
 
 

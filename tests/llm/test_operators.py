@@ -191,6 +191,18 @@ def test_mix_nears_its_targets_and_repeats(spark):
     assert words == {r["doc_id"]: r["taken"] for r in one if r["taken"]}
 
 
+def test_small_sources_meet_their_targets_to_the_word(spark):
+    n = np.full(100, 37)
+    assert all((mixing.permute(mixing.permute(np.arange(37), n[:37], np.full(37, k)), n[:37], np.full(37, k), back=True) == np.arange(37)).all() for k in range(20))
+    rows = [(k, " ".join(["w"] * size), "en", f"s{k:02}", 0, "x") for k, size in enumerate([10, 40, 1, 64, 65, 700, 3001, 129, 20, 333])]
+    rows += [(100 + k, " ".join(["w"] * (k + 1)), "en", "t", 0, "x") for k in range(40)]
+    per = {}
+    for r in mixing.taken(spark.createDataFrame(rows, DOCS)).collect():
+        source = "t" if r["doc_id"] >= 100 else r["doc_id"]
+        per.setdefault(source, [r["target"], 0])[1] += r["taken"]
+    assert all(abs(target - n) <= 1 for target, n in per.values()), per
+
+
 # --- URLs ------------------------------------------------------------------------------------
 
 
