@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import held_out
 
 #: Longest unit; steps between the windows of longer ones; decay; documents of each label that training samples (about).
-WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 1500
+WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 2000
 ALPHABET, GAP = 32, 29
 #: Triples of a-z and digits have a number each, below ALPHABET**3; those with other letters are hashed to the rest.
 FEATURES = 1 << 17
@@ -184,7 +184,9 @@ def train(samples: list[tuple[int, set[str]]], landmarks: int = 240, rounds: int
 
     First positives are the units with a character group that tells positive documents. Then, in
     rounds, a machine is trained; positive documents without a positive unit give the one that it
-    scores highest, and negative units that it scores high join the negatives.
+    scores highest, and negative units that it scores high join the negatives. A machine sees the 3,000
+    commonest negative units, 5,000 of the others, 3,000 high-scoring ones a round, and the 2,500
+    commonest positive ones.
     """
     pos, neg = [u for y, u in samples if y and u], [u for y, u in samples if not y and u]
     if not pos or not neg:
