@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,14 @@ WORD = re.compile(f"[^{SPACE}]+")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which the session must name.
+
+    Only in a local session, where driver and executors are one process (tests), a new temporary folder stands in.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,6 +45,17 @@ def drop_saved(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(owner, make: Callable[[], object]):
+    """What a Python worker keeps from one task to the next: of one owner at a time, so that an operator's memory goes when the next one starts."""
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[owner] = make()
+    return _REMEMBERED[owner]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,6 +65,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
 
 
+def with_text(docs: DataFrame, found: DataFrame, text: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with ``text`` of its texts, for which ``found`` has one row for each ``row_key`` in a column ``key``. No column of ``docs`` is shadowed."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("key")).join(found, "key")
+    return rows.select(*((text(F.col("row.text")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The rows that no model learns from: crc32 of the id as text, modulo 4, is 2. Null ids are not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))

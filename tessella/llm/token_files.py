@@ -23,8 +23,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import saved, shuffle_partitions
+from tessella.llm.common import remembered, saved, shuffle_partitions
 
 BLOCK, PERCENTILE, CHUNK = 128, 0.9, 1 << 18
 HEAD = struct.Struct("<4sQIII")
@@ -106,31 +106,71 @@ def unpack(payload: bytes) -> np.ndarray:
     return (diff + low[:, None].astype(np.uint32)).reshape(-1)[:n]
 
 
+class Known:
+    """Ids of pieces, one after the other in an array, and each piece's number in it."""
+
+    def __init__(self, kind: str):
+        self.number: dict[str, int] = {}
+        self.flat, self.ends, self.size = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.number)
+        used = int(self.ends[n])
+        for name, need in (("flat", used + len(flat)), ("ends", n + 1 + len(pieces))):
+            old = getattr(self, name)
+            if need > len(old):
+                grown = np.zeros(max(need, len(old) * 3 // 2), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        self.flat[used : used + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.size += sum(map(len, pieces)) + 2 * len(flat) + 160 * len(pieces)
+
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of known pieces, one after the other."""
+        return self.ids(np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the pieces with the numbers ``at``."""
+        start = self.ends[at]
+        sizes = self.ends[at + 1] - start
+        return self.flat[_runs(start, sizes)], sizes
+
+
+def _runs(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) + total < 1 << 31) else np.int64
+    return np.repeat((start - ends + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
+
+
 class Encoder:
     """Encodes texts with a tokenizer file whose pre-tokens never reach across a single space between two other characters.
 
     So a text is the concatenation of pieces cut before such spaces and line feeds, and of its ids the
-    concatenation of theirs. Pieces recur; their ids are remembered, in two generations of about ``most`` pieces.
+    concatenation of theirs. Pieces recur; their ids are remembered, in two generations of about ``most`` bytes.
     A text whose spaces touch other white space is cut by a pattern instead of at every space.
     """
 
     CUT, SEPARATOR = re.compile(r"(?<=\S) (?=\S)"), "\0"
     #: White space other than space and line feed, as Python's ``\s`` has it.
     RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+    #: Pieces that start a text or a line, and those that follow a space.
+    FIRST, LATER = 0, 1
 
-    def __init__(self, path: str, most: int = 400_000, end_id: int = 2):
+    def __init__(self, path: str, most: int = 80_000_000, end_id: int = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        #: Ids of first pieces, and of the others: those follow a space or start with a line feed. What an older generation knows is taken over when it recurs.
-        self.known: list[dict[str, bytes]] = [{}, {}]
-        self.older: list[dict[str, bytes]] = [{}, {}]
-        self.code = "I" if self.tokenizer.get_vocab_size() > 65536 else "H"
-        self.kind = "<u2" if self.code == "H" else "<u4"
-        self.end = np.array([end_id], "<u4")
         size = self.tokenizer.get_vocab_size()
+        self.kind = "<u4" if size > 65536 else "<u2"
+        #: By kind of piece. What an older generation knows is taken over when it recurs.
+        self.known, self.older = [Known(self.kind), Known(self.kind)], [Known(self.kind), Known(self.kind)]
+        self.end = np.array([end_id], "<u4")
         self.starts = np.array([(self.tokenizer.id_to_token(k) or "")[:1] == "\u0120" for k in range(size)])
-        self.ends = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.ends = {x: self._ids([x])[0] for x in ".,"}
         self.line = self._ids(["\n"])[0]
 
     def joined(self, text: str) -> str:
@@ -142,55 +182,79 @@ class Encoder:
         uneven = double or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(map(text.__contains__, self.RARE))
         return self.CUT.sub(self.SEPARATOR, text) if uneven else text.replace("\n", " \n").replace(" ", self.SEPARATOR)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_first(self, words: set[str]) -> None:
-        new = list(self._unknown(0, words))
-        self.known[0].update(zip(new, self._ids(new), strict=True))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unknown(self, kind: int, words: set[str]) -> set[str]:
-        """The pieces of a kind that neither generation remembers; those of the older one are taken over to the newer."""
+    def _unknown(self, kind: int, pieces: Iterable[str]) -> list[str]:
+        """The pieces that neither generation remembers; those of the older one are taken over to the newer."""
         known, older = self.known[kind], self.older[kind]
-        new = words.difference(known)
-        if older and new:
-            back = {w: older[w] for w in new if w in older}
-            known.update(back)
-            new.difference_update(back)
+        new = [w for w in pieces if w not in known.number]
+        if new and older.number:
+            back = [w for w in new if w in older.number]
+            known.add(back, *older.of(back))
+            new = [w for w in new if w not in known.number]
         return new
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of pieces that follow a space or start with a line feed.
-
-        New words are encoded in one text, a space before each: a word's ids start at a token that
-        starts with a space. A full stop or comma after a letter, and a line feed between other
-        characters, are pre-tokens of their own; so such pieces take the ids of their parts.
-        Pieces with spaces inside are encoded alone.
+    def _alone(self, kind: int, pieces: list[str]) -> None:
+        found = self._ids([" " * kind + w for w in pieces])
+        self.known[kind].add(pieces, np.concatenate([*found, np.zeros(0, self.kind)]), np.array([len(x) for x in found], np.int64))
+
+    def _extended(self, kind: int, pieces: list[str], stems: list[str], of: int, before: np.ndarray, after: list[np.ndarray]) -> None:
+        """Learns pieces whose ids are those of their stems with ``before`` before, and ``after``, one each or none, behind them."""
+        flat, sizes = self.known[of].of(stems)
+        more = len(before) + (len(after[0]) if after else 0)
+        out = np.zeros(len(flat) + more * len(stems), self.kind)
+        ends = np.cumsum(sizes + more)
+        out[_runs(ends - sizes - more + len(before), sizes)] = flat
+        for k, x in enumerate(before):
+            out[ends - sizes - more + k] = x
+        if after:
+            out[_runs(ends - len(after[0]), np.full(len(ends), len(after[0])))] = np.concatenate(after)
+        self.known[kind].add(pieces, out, sizes + more)
+
+    def _learn(self, kind: int, pieces: Iterable[str]) -> None:
+        """Ids of pieces of a kind.
+
+        New words are encoded in one text, a space or a line feed before each: a word's ids start at a
+        token that starts with a space, or behind the line feed's. A full stop or comma after a letter,
+        and a line feed between other characters, are pre-tokens of their own; so such pieces take the
+        ids of their parts. Pieces with white space inside are encoded alone.
         """
-        known = self.known[1]
-        new = self._unknown(1, words)
-        lines = [w for w in new if w[:1] == "\n"]
+        new = self._unknown(kind, pieces)
+        lines = [w for w in new if w[:1] == "\n"] if kind else []
         if lines:
-            new.difference_update(lines)
-            self._learn_first({w[1:] for w in lines})
-            known.update([(w, self.line + self.known[0][w[1:]]) for w in lines])
-        ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
-        new.difference_update(ended)
-        new.update(self._unknown(1, {w[:-1] for w in ended}))
-        plain = list(new)
+            rest = [w[1:] for w in lines]
+            self._learn(self.FIRST, dict.fromkeys(rest))
+            self._extended(kind, lines, rest, self.FIRST, self.line, [])
+        ended = [w for w in new if w[-1:] in self.ends and w[-2:-1].isalpha() and (not kind or w[0] != "\n")]
+        plain = set(new).difference(lines, ended)
+        plain = list(plain.union(self._unknown(kind, {w[:-1] for w in ended})))
         if " ".join(plain).split() != plain:  # some piece is empty or holds white space
-            alone = [w for w in plain if not w or w[:1].isspace() or w[-1:].isspace() or " " in w]
-            known.update(zip(alone, self._ids([" " + w for w in alone]), strict=True))
-            plain = list(new.difference(alone))
+            alone = [w for w in plain if w.split() != [w]]
+            self._alone(kind, alone)
+            plain = [w for w in plain if w.split() == [w]]
+        sign = " " if kind else "\n"
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            raw = np.frombuffer(self._ids([" " + " ".join(some)])[0], self.kind)
-            starts = (np.nonzero(self.starts[raw])[0] * raw.itemsize).tolist()
-            if len(starts) == len(some) and starts[0] == 0:
-                known.update(zip(some, map(raw.tobytes().__getitem__, map(slice, starts, [*starts[1:], raw.nbytes])), strict=True))
+            raw = self._ids([sign + sign.join(some)])[0]
+            mark = np.nonzero(self.starts[raw] if kind else raw == self.line[0])[0]
+            if len(mark) == len(some) and mark[0] == 0 and len(self.line) == 1:
+                sizes = np.diff(np.append(mark, len(raw))) - (not kind)
+                self.known[kind].add(some, raw if kind else np.delete(raw, mark), sizes)
             else:
-                known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
-        known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
+                self._alone(kind, some)
+        if ended:
+            self._extended(kind, ended, [w[:-1] for w in ended], kind, self.line[:0], [self.ends[w[-1]] for w in ended])
+
+    def _numbers(self, kind: int, pieces: list[str]) -> np.ndarray:
+        """The number of each piece, which is learned if new."""
+        known = self.known[kind].number
+        at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.nonzero(at < 0)[0]
+        new = [pieces[k] for k in missing.tolist()]
+        self._learn(kind, dict.fromkeys(new))
+        at[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id after them.
@@ -199,33 +263,27 @@ class Encoder:
         ids are gathered from those of the different pieces.
         """
         for k, known in enumerate(self.known):
-            if len(known) > self.most:
-                self.older[k], self.known[k] = known, {}
-        whole = {k: np.append(np.frombuffer(self._ids([t])[0], self.kind).astype("<u4"), self.end) for k, t in enumerate(texts) if self.SEPARATOR in t}
+            if known.size > self.most:
+                self.older[k], self.known[k] = known, Known(self.kind)
+        whole = {k: np.append(self._ids([t])[0].astype("<u4"), self.end) for k, t in enumerate(texts) if self.SEPARATOR in t}
         cut = pc.split_pattern(pa.array(["" if k in whole else self.joined(t) for k, t in enumerate(texts)], pa.large_string()), self.SEPARATOR)
         at = cut.offsets.to_numpy().astype(np.int64)
         numbered = cut.flatten().dictionary_encode()
         words, piece = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype(np.int64)
-        self._learn(set(words))
         first = [words[k] for k in piece[at[:-1]].tolist()]
-        self._learn_first(set(first))
+        # Lines' pieces may be learned with later ones: so ids are taken when all are known.
+        in_first, in_later = self._numbers(self.FIRST, first), self._numbers(self.LATER, words)
         # The ids of pieces that follow others, of first pieces, and the end id, one after the other.
-        values = [*map(self.known[1].__getitem__, words), *map(self.known[0].__getitem__, first), self.end.astype(self.kind).tobytes()]
-        flat = np.frombuffer(b"".join(values), self.kind)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
+        (later, m), (early, n) = self.known[self.LATER].ids(in_later), self.known[self.FIRST].ids(in_first)
+        flat, size = np.concatenate([later, early, self.end]).astype("<u4"), np.concatenate([m, n, [1]])
         piece[at[:-1]] = len(words) + np.arange(len(texts))
-        piece = np.insert(piece, at[1:], len(values) - 1)
-        n = size[piece]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(size) - size)[piece] - (ends - n), n) + np.arange(n.sum())].astype("<u4")
-        ends = ends[at[1:] + np.arange(len(texts))]
+        piece = np.insert(piece, at[1:], len(size) - 1)
+        ids = flat[_runs((np.cumsum(size) - size)[piece], size[piece])]
+        ends = np.cumsum(size[piece])[at[1:] + np.arange(len(texts))]
         out = np.split(ids, ends[:-1]) if len(texts) else []
         return [whole.get(k, x) for k, x in enumerate(out)]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def tokenizer_path(name_or_path: str) -> str:
     if "/" in name_or_path:
         return name_or_path
@@ -245,10 +303,8 @@ def encode_to_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = (tokenizer, end_id)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(tokenizer_path(tokenizer), end_id=end_id)
-        encoder, part, seq, first = _ENCODERS[key], TaskContext.get().partitionId(), 0, 0
+        encoder = remembered(("token-files", tokenizer, end_id), lambda: Encoder(tokenizer_path(tokenizer), end_id=end_id))
+        part, seq, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, ids, held = [], [], 0
 
         def flush() -> pd.DataFrame:

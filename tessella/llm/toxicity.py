@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out
+from tessella.llm.common import held_out, remembered
 
 #: Longest unit; steps between the windows of longer ones; decay; documents of each label that training samples (about).
 WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 2000
@@ -268,9 +268,6 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
     return [(r["label"], {one.setdefault(w, w) for w in r["units"]}) for r in rows]
 
 
-_KNOWN: dict[int, dict[str, float]] = {}
-
-
 def scorer(spark: SparkSession, model: Model, most: int = 200_000):
     """A function of a text column that gives the score of each whole text. Margins of units are remembered by each worker."""
     sent = spark.sparkContext.broadcast(model)
@@ -278,7 +275,7 @@ def scorer(spark: SparkSession, model: Model, most: int = 200_000):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model, known = sent.value, _KNOWN.setdefault(stamp, {})
+        model, known = sent.value, remembered(("toxicity", stamp), dict)
         out = np.empty(len(texts))
         empty = model.probability(min(model.bias, model.shift - 1))
         for at in range(0, len(texts), 512):
