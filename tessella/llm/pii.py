@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import row_key, saved
+from tessella.llm.common import row_key, saved, with_text
 from tessella.llm.secrets import digest
-from tessella.llm.spans import SPAN, Kind, find, replaced
+from tessella.llm.spans import SPAN, Kind, chunked, find, let, located, part, replaced
 
 
 def _digits(w: Column) -> Column:
@@ -35,86 +35,104 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda w: F.when(_between(w, 12, 19), _luhn(w)).otherwise(False)),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda w: _between(w, 9, 15)),
 ]
-#: Words on either side of an entity; texts that must show a term with it; share of a term's texts that hold the entity.
-NEAR, SUPPORT, DISCLOSURE = 4, 3, 0.5
-_CONTEXT = 160
+#: Words on either side of an entity; different texts that must show a term with it; shares of an entity's information from which a term is generalised, or removed.
+NEAR, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.8, 0.9
+#: Terms that are sent to every executor; more of them meet the texts' words in a shuffled join.
+SENT = 500_000
+_WORD = r"\p{L}++"
+#: Spans of terms that are removed, and of those that are generalised.
+REMOVED, GENERAL = "term", "hint"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+def words(text: Column) -> Column:
+    """Runs of letters, lower-cased."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
 
 
-def _around() -> Column:
-    """(entity, left, right) of each strong span: its string and the characters on either side."""
-    at = lambda a, n: F.substring(F.col("text"), a.cast("int"), n.cast("int"))
-    before = lambda s: F.least(s["start"], F.lit(_CONTEXT))
-    return F.transform("base", lambda s: F.struct(
-        at(s["start"] + 1, s["end"] - s["start"]).alias("entity"),
-        at(s["start"] - before(s) + 1, before(s)).alias("left"), at(s["end"] + 1, F.lit(_CONTEXT)).alias("right"),
-    ))
+def _contexts(text: Column, base: Column) -> Column:
+    """(entity, words) of each strong span: its string, and the ``NEAR`` words on either side of it that come before the neighbouring spans."""
+    first = rf"^(?:\P{{L}}*+\p{{L}}++){{1,{NEAR}}}"
+    head = lambda piece: words(F.regexp_extract(piece, first, 0))
+    tail = lambda piece: F.transform(words(F.regexp_extract(F.reverse(piece), first, 0)), F.reverse)
 
+    def context(chunks: Column, size: Column, spans: Column, s: Column, i: Column) -> Column:
+        before = F.least(s["start"], F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0)))
+        after = F.greatest(s["end"], F.coalesce(F.get(spans, i + 1)["start"], size))
+        left, right = part(chunks, before, s["start"] - before), part(chunks, s["end"], after - s["end"])
+        return F.struct(part(chunks, s["start"], s["end"] - s["start"]).alias("entity"), F.array_distinct(F.concat(tail(left), head(right))).alias("words"))
 
-def _contexts(base: DataFrame) -> DataFrame:
-    """(hash, entity, words): each strong span's string with the words near it: ``NEAR`` on either side, and as many of four letters or more."""
-    got = base.select(F.col("key.hash").alias("hash"), F.explode("around").alias("s")).select("hash", "s.*")
-    # What the cut may have halved isn't a word.
-    whole_left, whole_right = F.regexp_replace("left", r"^\p{L}+", ""), F.regexp_replace("right", r"\p{L}+$", "")
-    first = lambda words: F.concat(F.slice(words, 1, NEAR), F.slice(F.filter(words, lambda w: F.length(w) >= 4), 1, NEAR))
-    near = F.concat(first(F.reverse(_words(whole_left))), first(_words(whole_right)))
-    return got.select("hash", "entity", F.array_distinct(near).alias("words"))
+    found = let(chunked(text), lambda chunks: let(F.length(text).cast("long"), lambda size: let(base, lambda spans: F.transform(spans, lambda s, i: context(chunks, size, spans, s, i)))))
+    return F.when(F.size(base) > 0, found).otherwise(F.array().cast("array<struct<entity:string,words:array<string>>>"))
 
 
-def disclosing(base: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(term, entity, together, texts, disclosure, bits, key): where terms occur that give an entity away.
+def disclosing(contexts: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(term, entity, together, term_rows, entity_rows, information, bits, disclosure): terms that tell of an entity.
 
-    A term is a word of any length. It discloses an entity if, of the different texts that
-    hold the term, at least the share ``threshold`` show it within four words of the entity, and
-    ``support`` at least do. ``bits`` is the information: log2 of that share against the entity's
-    share of all texts. Both counts are of different texts: copies of a text count once, and a passage as
-    often as different texts hold it.
+    ``contexts`` has a row's text hash and its (entity, words) list, ``texts`` each row's text. An
+    entity's information is -log2 of its share of all rows; ``bits`` is its pointwise mutual
+    information with the term near it, log2(p(term, entity) / (p(term) p(entity))); and the disclosure
+    is the share of the information that these bits are: 1 if the term always comes with the entity,
+    0 if independently. Terms from ``threshold`` up that ``support`` different texts show with the
+    entity are returned. An entity in every row has no information to disclose.
+
+    All counts are of rows, copies included, and of all rows: partial sums by term, entity, or pair
+    are shuffled, never occurrences, so neither a common word nor a group of copies meets one task.
     """
-    pairs = saved(_contexts(base).select("hash", "entity", F.explode("words").alias("term")), "pii-contexts")
-    together = pairs.groupBy("term", "entity").agg(F.count_distinct("hash").alias("together")).where(F.col("together") >= support)
-    together = saved(together, "pii-pairs")
-    terms = together.select("term").distinct()
-    held = rows.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
-    held = saved(held.distinct(), "pii-terms")
-    texts = held.groupBy("term").agg(F.count_distinct("key.hash").alias("texts"))
-    every = rows.select(F.approx_count_distinct("key.hash").alias("all"))
-    entity = pairs.groupBy("entity").agg(F.count_distinct("hash").alias("entity_texts"))
-    share = F.col("together") / F.col("texts")
-    strong = together.join(texts, "term").where(share >= threshold).join(entity, "entity").join(F.broadcast(every))
-    strong = strong.select("term", "entity", "together", "texts", share.alias("disclosure"), F.log2(share / (F.col("entity_texts") / F.col("all"))).alias("bits"))
-    return held.join(strong, "term")
-
-
-def personal(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, key, base, extra) of each row of ``docs``: strong spans, and disclosing terms wherever they occur (kind ``term``).
-
-    Null texts count as empty. Rows that agree in id and text give the same result. The corpus counts
-    take in every row.
+    total = texts.count()
+    # One text a pair, as lists of texts lose repeats by hashing and lists of pairs do not; neither part holds the separator.
+    pairs = F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(x["words"], lambda w: F.concat(w, F.lit("\x01"), x["entity"])))))
+    seen = contexts.where(F.size("found") > 0)
+    together = seen.select("hash", F.explode(pairs).alias("pair")).groupBy("pair", "hash").agg(F.count("*").alias("n"))
+    together = together.groupBy("pair").agg(F.sum("n").alias("together"), F.count("*").alias("different")).where(F.col("different") >= support)
+    together = saved(together.select(F.substring_index("pair", "\x01", 1).alias("term"), F.substring_index("pair", "\x01", -1).alias("entity"), "together"), "pii-pairs")
+    entities = seen.select(F.explode(F.array_distinct("found.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_rows"))
+    terms = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_rows"))
+    got = together.join(entities, "entity").join(terms, "term")
+    information = F.log2(F.lit(total) / F.col("entity_rows"))
+    bits = F.log2(F.lit(total) * F.col("together") / (F.col("term_rows") * F.col("entity_rows")))
+    got = got.select("term", "entity", "together", "term_rows", "entity_rows", information.alias("information"), bits.alias("bits"))
+    return got.where("information > 0").withColumn("disclosure", F.col("bits") / F.col("information")).where(F.col("disclosure") >= threshold)
+
+
+def personal(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, sent: int = SENT) -> DataFrame:
+    """(doc_id, key, base, extra) of each row of ``docs``: strong spans, and disclosing terms wherever they occur.
+
+    A term's span is of kind ``term`` if it discloses the share ``remove`` of some entity's information
+    or more, and of kind ``hint`` if the share ``generalise``. Terms, and the keys of rows that hold one,
+    go to every executor if there are ``sent`` of them at most; more terms join the texts' words in a
+    shuffle, and of more rows all are searched. Texts are never shuffled.
+
+    Null texts count as empty; long ones are searched whole. Rows that agree in id and text give
+    the same result, an empty table none. Other columns of ``docs``, whatever their names, play no part.
     """
     rows = docs.select("doc_id", row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    base = saved(find(rows, "text", BASE, "base").select("doc_id", "key", "base", _around().alias("around")), "pii-spans")
-    told = disclosing(base, rows, support, threshold)
-    base = base.drop("around")
-    # Written first: where few rows are told, Spark sees that and sends them to the texts, not the texts to them.
-    per_row = saved(told.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-told")
-    some = rows.select("key", "text").join(per_row, "key").dropDuplicates(["key"])
-    word = Kind("term", r"\p{L}++")
-    placed = find(some, "text", [word], "all", len(BASE))
-    text, terms = F.col("text"), F.col("terms")
-    said = lambda x: F.lower(F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
-    extra = placed.select("key", F.filter("all", lambda x: F.array_contains(terms, said(x))).alias("extra"))
-    return base.join(extra, "key", "left").withColumn("extra", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
+    base = find(rows, "text", BASE, "base").select("doc_id", "key", "base", "text")
+    base = saved(base.select("doc_id", "key", "base", _contexts(F.col("text"), F.col("base")).alias("found")), "pii-spans")
+    told = disclosing(base.select(F.col("key.hash").alias("hash"), "found"), rows, support, generalise)
+    told = saved(told.groupBy("term").agg((F.max("disclosure") >= remove).alias("removed")), "pii-told")
+    base, none = base.drop("found"), F.array().cast(f"array<{SPAN}>")
+    n = told.count()
+    if not n:
+        return base.withColumn("extra", none)
+    terms = F.broadcast(told) if n <= sent else told
+    held = rows.select("key", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
+    held = saved(held.select("key").distinct(), "pii-held")
+    some = rows.join(F.broadcast(held), "key", "left_semi") if held.count() <= sent else rows  # texts stay where they lie
+    found = some.select("key", "text", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("m"))
+    found = found.select("key", "m", F.split("text", _WORD, -1).alias("g")).where(F.size("m") > 0)
+    found = found.select("key", F.explode(located(F.col("m"), F.col("g"), F.lower)).alias("w")).select("key", "w.start", "w.end", F.col("w.value").alias("term"))
+    found = found.join(terms, "term")
+    span = F.struct("start", F.lit(len(BASE)).alias("place"), "end", F.when(F.col("removed"), REMOVED).otherwise(GENERAL).alias("kind"))
+    per_row = found.select("key", span.alias("p")).groupBy("key").agg(F.sort_array(F.collect_set("p")).alias("extra"))
+    return base.join(per_row, "key", "left").withColumn("extra", F.coalesce("extra", none))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with each strong span generalised to its kind, as ``<EMAIL>``, and disclosing terms removed."""
-    found = personal(docs).select("key", F.sort_array(F.concat("base", "extra")).alias("__spans")).dropDuplicates(["key"])
-    got = docs.withColumn("key", row_key()).join(found, "key")
-    label = lambda kind: F.when(kind == "term", "").otherwise(F.concat(F.lit("<"), F.upper(kind), F.lit(">")))
-    return got.withColumn("text", replaced(F.col("text"), F.col("__spans"), label)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with each strong span generalised to its kind, as ``<EMAIL>``, terms that tell most of an entity removed, and
+    other disclosing terms generalised to ``<HINT>``. Rows without text keep their null; all columns stay, whatever their names."""
+    found = personal(docs).select("key", F.sort_array(F.concat("base", "extra")).alias("spans")).dropDuplicates(["key"])
+    label = lambda kind: F.when(kind == REMOVED, "").otherwise(F.concat(F.lit("<"), F.upper(kind), F.lit(">")))
+    return with_text(docs, found, lambda text: replaced(text, F.col("spans"), label))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
