@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,14 +41,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, chunk: int =
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed 64-bit integer."""
+    """(id, at, fp): the hash of each row's text, and its fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": found.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "at": b["at"], "fp": found.view(np.int64)})
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInPandas(run, "id long, fp long")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("at"), F.col(text_column).alias("text")).mapInPandas(run, "id long, at long, fp long")
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -99,7 +100,7 @@ def links(distinct: DataFrame, bits: int = 4, crowd: int = 256) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """Adds ``component`` to rows (id, fp): the least id that can be reached through links.
+    """Adds to rows (id, fp, ...) ``component``, the least id that can be reached through links, and ``root``, which names the group.
 
     Copies fall together on their fingerprint first, so that links are sought between different
     fingerprints only.
@@ -108,14 +109,16 @@ def groups(prints: DataFrame) -> DataFrame:
     joined = components(links(least.select("fp")), "simhash-components")
     named = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(named.join(roots, "root").select("fp", "component"), "fp")
+    return prints.join(named.join(roots, "root").select("fp", "component", "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``; see the module's functions.
 
     Null texts count as empty ones; rows without words have fingerprint zero, and link with each
-    other. Repeated rows give repeated results. A component whose ids are all null has a null id.
+    other. Long texts are read whole, 65,536 shingles at a time. Repeated rows give repeated results,
+    an empty table none. A component whose ids are all null has a null id. Other columns of ``docs``,
+    whatever their names, play no part.
     """
     found = groups(saved(fingerprints(docs), "simhash-prints"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -152,7 +155,7 @@ def bands(found: np.ndarray, tables: int = TABLES, rows: int = ROWS, chunk: int
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, rounds: int = 3) -> DataFrame:
-    """(id, component) of each row of ``docs``: the least id that can be reached over pairs whose word 5-shingles have this Jaccard similarity or more.
+    """(id, at, component, root) of each row of ``docs``: its text's hash, the least id that can be reached over pairs whose word 5-shingles have this Jaccard similarity or more, and the group's name.
 
     At a similarity of 0.8 fingerprints differ in ten of 64 bits on average and in sixteen often
     enough, too many for blocks of equal bits. So candidates agree in one of twenty keys of five
@@ -214,19 +217,28 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
             joined = components(found, "similar-components")
     named = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.select("id", "fp").join(named.join(roots, "root").select("fp", "component"), "fp").select("id", "component")
+    return prints.select("id", "at", "fp").join(named.join(roots, "root").select("fp", "component", "root"), "fp").select("id", "at", "component", "root")
 
 
 def keep_one(docs: DataFrame, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id. Rows without an id are kept, once if they are equal.
+    """``docs`` with one row of each group: the one with the least id, of equal ids the one whose text has the least hash, and without an id only if all are.
 
-    Groups are those of op2's fingerprints, or with ``similarity`` those of ``similar``.
+    Groups are those of op2's fingerprints, or with ``similarity`` those of ``similar``. Texts without
+    words, null ones included, are one group. Of rows that agree in id and text one stays, chosen by a
+    hash of all its columns; rows with one id and unlike texts all stay. An empty table stays empty.
+    All columns stay, whatever their names.
     """
     found = groups(saved(fingerprints(docs), "simhash-prints")) if similarity is None else similar(docs, similarity)
-    out = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    anonymous = F.when(F.col("doc_id").isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).otherwise(0)
-    return left.withColumn("__anonymous", anonymous).dropDuplicates(["doc_id", "__anonymous"]).drop("__anonymous")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    found = saved(found.select("id", "at", "root").distinct(), "simhash-rows")
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    out = found.join(first, "root").where(rank != F.col("first")).select(F.col("id").alias("out_id"), F.col("at").alias("out_at"))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map|variant", f.dataType.simpleString())]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("at"), F.xxhash64(*plain).alias("hash"), F.struct(*named).alias("row"))
+    left = rows.join(out, F.col("id").eqNullSafe(F.col("out_id")) & (F.col("at") == F.col("out_at")), "left_anti")
+    one = left.groupBy("id", "at").agg(F.min_by("row", "hash").alias("row"))
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
