@@ -91,13 +91,16 @@ def tiles(a: list[int], b: list[int], least: int = MIN_MATCH) -> list[tuple[int,
 
 
 class Items:
-    """A bounded block of test items, indexed by the hashes of their windows of ``least`` tokens."""
+    """A bounded block of test items, indexed by the hashes of their windows of ``least`` tokens.
 
-    def __init__(self, items: list[tuple[int, str]], least: int = MIN_MATCH):
+    An item of fewer tokens is one window, unless ``short`` is false: then it is left out.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], least: int = MIN_MATCH, short: bool = True):
         self.least, self.vocabulary, self.ids, self.names = least, {}, [], []
         for name, text in items:
             words = tokens(text)
-            if words:
+            if words and (short or len(words) >= least):
                 self.ids.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
                 self.names.append(name)
         seeds, owners = [], []
@@ -170,7 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ``tiles`` lists (start in the document, start in the item, length) in tokens. Test items are the
     query set: they go to the executors in blocks of at most 20,000 items and 8 million characters,
     and all documents run against each block, where they lie; no document is shuffled or cut short.
-    Null and empty texts match nothing; repeated rows and repeated items give repeated rows.
+    Null and empty texts match nothing; repeated rows and items with one text under several ids give
+    repeated rows, empty tables none. An item of fewer tokens than ``least`` counts where all of it
+    stands. Other columns of ``docs``, whatever their names, play no part.
     """
     out = None
     for block in _blocks(benchmark):
@@ -190,7 +195,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
-    """``docs`` without those that ``contaminated`` finds, each judged by its own text."""
+    """``docs`` without those that ``contaminated`` finds for an item of ``least`` tokens or more, each judged by its own whole text.
+
+    Shorter items, such as "yes", are reported by ``contaminated`` but say too little to drop a document.
+    Rows with null or empty texts stay, repeated rows stay or go alike, and of an empty table nothing
+    is left. All columns stay, whatever their names.
+    """
     def leaks(items: Broadcast):
         @F.pandas_udf("boolean")
         def found(text: pd.Series) -> pd.Series:
@@ -200,7 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
 
     out = docs
     for block in _blocks(benchmark):
-        out = out.where(~leaks(docs.sparkSession.sparkContext.broadcast(Items(block, least))))
+        out = out.where(~leaks(docs.sparkSession.sparkContext.broadcast(Items(block, least, short=False))))
     return out
 
 
