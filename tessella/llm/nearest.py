@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -17,6 +18,8 @@ from tessella.llm.common import saved
 #: Tables; projections of a table's hash; rows the index is fitted on; recall to reach on them; queries of one pass; rows of one step; queries that are measured.
 TABLES, PROJECTIONS, SAMPLE, RECALL, QUERIES, STEP, MEASURED = 8, 4, 3000, 0.96, 4096, 4096, 64
 
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
 
 @dataclass
 class Index:
@@ -93,6 +96,18 @@ def fit(x: np.ndarray, k: int, longest: float = 0.0, tables: int = TABLES, proje
     return index
 
 
+def _scores(q: np.ndarray, x: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs ``seen``, -inf of others. Where few pairs are, only those are computed; else one matrix product is cheaper."""
+    if seen.mean() > 0.1:
+        return np.where(seen, q @ x.T, -np.inf)
+    score = np.full(seen.shape, -np.inf)
+    at, place = np.nonzero(seen)
+    for k in range(0, len(at), 65_536):
+        a, b = at[k : k + 65_536], place[k : k + 65_536]
+        score[a, b] = np.einsum("nd,nd->n", q[a], x[b])
+    return score
+
+
 def _best(score: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, vec_id, exact score) of each query's best ``k`` of one step; ``ids`` ascend, -inf bars a row."""
     n = score.shape[1]
@@ -126,17 +141,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     tables' buckets into candidates and reranks those alone, on the original vectors. A query that
     the probes leave with too few neighbours is then held against all rows. Some 64 queries are first
     searched both ways over all rows; where the probes find less than ``RECALL`` of what is there, or
-    did so in the sample, every query is held against all rows. Repeated ids are
-    searched each by its own vector and may be found repeatedly. Vectors of another length than most take no part.
+    did so in the sample, every query is held against all rows.
+
+    Repeated ids are searched each by its own vector and may be found repeatedly. Vectors are compared
+    with those of their own length, each length under an index of its own. An empty table gives no
+    rows. Other columns of ``vectors``, whatever their names, play no part.
     """
-    spark = vectors.sparkSession
     rows = saved(usable(vectors), "nearest-rows")
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if size is None:
-        return spark.createDataFrame([], schema)
-    dims, total = size["d"], size["count"]
-    rows = rows.where(F.size("v") == dims)
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # lengths of vectors, one in a table that was made by one model
+    found = [_nearest(rows.where(F.size("v") == r["d"]), r["d"], r["count"], every, k) for r in sizes]
+    return reduce(DataFrame.union, found) if found else rows.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _nearest(rows: DataFrame, dims: int, total: int, every: int, k: int) -> DataFrame:
+    spark, schema = rows.sparkSession, SCHEMA
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).alias("m")).first()["m"] ** 0.5
     some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / total)).limit(2 * SAMPLE).collect()
     index = fit(np.array([r["v"] for r in sorted(some, key=lambda r: r["vec_id"])]).reshape(-1, dims), k, top)
@@ -151,13 +169,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             held: list[pd.DataFrame] = []
             for b in batches:
                 b = b.sort_values("vec_id", kind="stable")
+                buckets = None if whole else _packed(index.rows(np.stack(b["v"].to_numpy())))
                 for at in range(0, len(b), STEP):
                     ids, x = b["vec_id"].to_numpy()[at : at + STEP], np.stack(b["v"].to_numpy()[at : at + STEP])
                     for of in range(0, len(q), 1024):
-                        score = q[of : of + 1024] @ x.T
+                        some = q[of : of + 1024]
+                        seen = names[of : of + 1024, None] != ids[None, :]
                         if not whole:
-                            score[~candidates(_packed(index.rows(x)), probes[of : of + 1024])] = -np.inf
-                        score[names[of : of + 1024, None] == ids[None, :]] = -np.inf
+                            seen &= candidates(buckets[at : at + STEP], probes[of : of + 1024])
+                        score = _scores(some, x, seen)
                         place, found, exact = _best(score, ids, x, q[of : of + 1024], k)
                         held.append(pd.DataFrame({"query": place + of, "query_id": names[place + of], "vec_id": found, "score": exact}))
                 merged = pd.concat(held).sort_values(["query", "score", "vec_id"], ascending=[True, False, True], kind="stable")
@@ -197,7 +217,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("pass", "query").orderBy(F.desc("score"), "vec_id"))
     best = saved(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "pass", "query"), "nearest-found")
-    enough = best.where(F.col("rank") == min(k, total - 1)).select("query_id").distinct()
+    # Of a repeated id all are redone if one is short.
+    per = best.groupBy("query_id").agg(F.count_if(F.col("rank") == min(k, total - 1)).alias("full"))
+    ids = wanted.groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("asked"))
+    enough = ids.join(per, "query_id").where("full >= asked").select("query_id")
     short = wanted.join(enough, wanted["vec_id"] == enough["query_id"], "left_anti")
     again = passes(short, True) if total > 1 and not index.whole and not short.isEmpty() else None
     out = best.select("query_id", "rank", "vec_id", "score")
