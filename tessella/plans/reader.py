@@ -2,8 +2,8 @@
 
 A scan is a description; ``dataframe()`` checks it against the footers and returns one lazy
 DataFrame, in which projection and predicates are ordinary expressions that reach the Parquet
-scan. Only ``head`` and ``tail``, and ``skip`` behind a predicate, order rows: by
-file and position, which Spark doesn't keep by itself.
+scan. Only ``head`` and ``tail`` order rows: by file and position, which Spark doesn't
+keep by itself. ``skip`` behind a predicate counts matches when ``dataframe()`` is called.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from tessella.plans import predicate as P
 from tessella.plans.lower import lower
-from tessella.sources.footer import Footer, Node, read_footers
+from tessella.sources.footer import BadParquet, Footer, Node, read_footers
 from tessella.sources.schema import SchemaError, find, fits, read_schema
 
-OPTIONS = {"metadata-filtering": ("true", "false"), "vectorized": ("auto", "true", "false")}
+OPTIONS = {"metadata-filtering": ("true", "false"), "vectorized": ("auto", "true", "false"), "verify-checksums": ("false", "true")}
 _FILE, _ROW = "__file_ordinal", "__row_index"
+#: Rows of a file whose matches are counted together to skip matches.
+STRETCH = 1 << 20
 
 
 class BadOptions(ValueError):
@@ -172,30 +174,56 @@ class Scan:
                 kept = self._cut(kept, self.offset or 0, self.first)
             ordered = self.last is not None or self.first is not None
         else:
-            ordered = self.first is not None or bool(self.offset)
-        df = d.raw(files=[k for k, spans in enumerate(kept) if spans])
-        if any(spans and spans != w for spans, w in zip(kept, whole, strict=True)):
-            inside = F.lit(False)
-            for k, spans in enumerate(kept):
-                for a, b in spans:
-                    inside = inside | ((F.col(_FILE) == k) & (F.col(_ROW) >= a) & (F.col(_ROW) < b))
-            df = df.where(inside)
-        if condition is not None:
-            df = df.where(condition)
+            ordered = self.first is not None
+        if condition is not None and self.offset:
+            kept = self._behind(kept, whole, condition)
+        df = self._rows(kept, whole, condition)
         if ordered:
             df = df.orderBy(_FILE, _ROW)
-            if condition is not None and self.offset:
-                df = df.offset(self.offset)
             if condition is not None and self.first is not None:
                 df = df.limit(self.first)
         return df.select(*wanted)
 
+    def _rows(self, kept: list[list[tuple[int, int]]], whole: list[list[tuple[int, int]]], condition: Column | None) -> DataFrame:
+        """Undecoded rows in the kept intervals that match; files without an interval aren't read."""
+        df = self.dataset.raw(files=[k for k, spans in enumerate(kept) if spans])
+        part = [k for k, (spans, w) in enumerate(zip(kept, whole, strict=True)) if spans and spans != w]
+        if part:
+            inside = ~F.col(_FILE).isin(part)
+            for k in part:
+                for a, b in kept[k]:
+                    inside = inside | ((F.col(_FILE) == k) & (F.col(_ROW) >= a) & (F.col(_ROW) < b))
+            df = df.where(inside)
+        return df if condition is None else df.where(condition)
+
+    def _behind(self, kept: list[list[tuple[int, int]]], whole: list[list[tuple[int, int]]], condition: Column) -> list[list[tuple[int, int]]]:
+        """The kept intervals behind the first ``offset`` matches.
+
+        Matches are counted by file and stretch of ``STRETCH`` rows, in one job with partial sums; the
+        stretch that the last skipped match lies in is then looked through. So no row is sorted or
+        gathered, and files before that match are not read again.
+        """
+        matches = self._rows(kept, whole, condition).select(_FILE, _ROW)
+        stretch = F.floor(F.col(_ROW) / STRETCH).alias("stretch")
+        left = self.offset
+        for file, at, n in sorted(tuple(r) for r in matches.groupBy(_FILE, stretch).count().collect()):
+            if n >= left:
+                inside = matches.where((F.col(_FILE) == file) & (F.col(_ROW) >= at * STRETCH) & (F.col(_ROW) < (at + 1) * STRETCH))
+                last = inside.orderBy(_ROW).limit(left).agg(F.max(_ROW)).first()[0]
+                return [[] if k < file else spans if k > file else [(max(a, last + 1), b) for a, b in spans if b > last + 1] for k, spans in enumerate(kept)]
+            left -= n
+        return [[] for _ in kept]
+
     def batches(self, function, schema: str, size: int | None = None) -> DataFrame:
         """``function`` of an iterator of Arrow record batches of the result; ``size`` bounds a batch's rows."""
         if size is not None:
             if size <= 0:
                 raise BadOptions("a batch has rows")
-            self.dataset.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+
+            def cut(batches):
+                return function(b.slice(at, size) for b in batches for at in range(0, b.num_rows, size))
+
+            return self.dataframe().mapInArrow(cut, schema)
         return self.dataframe().mapInArrow(function, schema)
 
     def column(self, name: str | int) -> DataFrame:
@@ -279,8 +307,7 @@ class Dataset:
             return spark.createDataFrame([], schema).withColumn(_FILE, F.lit(0)).withColumn(_ROW, F.lit(0).cast("long"))
         if len({self.footers[k].path for k in files}) < len(files):  # a file that is listed twice is read twice
             return reduce(DataFrame.union, [self.raw([k]) for k in files])
-        self._configure()
-        df = spark.read.option("mergeSchema", "false").schema(schema).parquet(*(self.footers[k].path for k in files))
+        df = self._session.read.option("mergeSchema", "false").schema(schema).parquet(*(self.footers[k].path for k in files))
         if len(files) == 1:
             number = F.lit(files[0])
         else:
@@ -288,16 +315,30 @@ class Dataset:
             number = F.element_at(F.lit(files), F.array_position(F.lit(tails), F.regexp_replace(F.col("_metadata.file_path"), "^[a-zA-Z0-9+.-]*:/*(?=/)", "")).cast("int"))
         return df.withColumn(_FILE, number).withColumn(_ROW, F.col("_metadata.row_index"))
 
-    def _configure(self) -> None:
-        """Session settings that this dataset's encodings and types need."""
-        conf, leaves = self.spark.conf, self.footers[0].leaves
+    @cached_property
+    def _session(self) -> SparkSession:
+        """The user's session, or a copy with settings that this dataset's encodings and types need: a scan keeps those of its own session, and no other dataset is touched."""
+        leaves, needs = self.footers[0].leaves, {}
         if any(x.logical and x.logical.kind == "TIMESTAMP" and x.logical.unit == "NANOS" for x in leaves):
-            conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+            needs["spark.sql.legacy.parquet.nanosAsLong"] = "true"
         split = any(9 in c[3].get(2, ()) for f in self.footers for g in f.row_groups for c in g[1])
         if self.vectorized != "auto" or split:  # Spark's vectorised reader lacks byte-stream split
-            conf.set("spark.sql.parquet.enableVectorizedReader", "false" if self.vectorized == "auto" else self.vectorized)
+            needs["spark.sql.parquet.enableVectorizedReader"] = "false" if self.vectorized == "auto" else self.vectorized
         if not self.metadata_filtering:
-            conf.set("spark.sql.parquet.filterPushdown", "false")
+            needs["spark.sql.parquet.filterPushdown"] = "false"
+        needs = {k: v for k, v in needs.items() if self.spark.conf.get(k, None) != v}
+        return copied(self.spark, needs) if needs else self.spark
+
+
+def copied(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session like ``spark`` with other settings, for relations that are read under them."""
+    other = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if other.conf.get(k, None) != v and other.conf.isModifiable(k):
+            other.conf.set(k, v)
+    for k, v in settings.items():
+        other.conf.set(k, v)
+    return other
 
 
 def _tail(path: str) -> str:
@@ -312,7 +353,8 @@ def open_dataset(spark: SparkSession, *paths: str, options: dict[str, str] | Non
     """Opens files, or directories of files in name order, as one dataset.
 
     ``raw_values`` keeps physical values: unsigned integers as their signed bit pattern, dates and
-    times as numbers, strings as bytes. Unknown options are warned of and ignored.
+    times as numbers, strings as bytes. ``verify-checksums`` reads all pages that have a checksum first, in
+    tasks, and raises ``BadParquet`` if one doesn't fit. Unknown options are warned of and ignored.
     """
     if not paths:
         raise ValueError("no files to open")
@@ -322,6 +364,12 @@ def open_dataset(spark: SparkSession, *paths: str, options: dict[str, str] | Non
     footers = read_footers(spark, *paths)
     if not footers:
         raise FileNotFoundError(f"no data files below {paths}")
+    if options.get("verify-checksums", "false") == "true":
+        from tessella.operators.metadata import checksums
+
+        bad = checksums(spark, *paths).where("not right").first()
+        if bad:
+            raise BadParquet(f"{bad['path']}: row group {bad['row_group']}, {bad['name']}, page {bad['page']}: wrong checksum")
     return Dataset(spark, footers, options.get("metadata-filtering", "true") != "false", raw_values, options.get("vectorized", "auto"))
 
 

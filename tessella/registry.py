@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, time
+from decimal import Decimal
+from hashlib import md5
+from uuid import UUID, uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,9 @@ from tessella.functions import nested, render, variant
 from tessella.operators import aggregates, metadata
 from tessella.plans import filter_api as J
 from tessella.plans import predicate as P
-from tessella.plans.reader import Scan, both, byte_range, open_dataset
+from tessella.plans.reader import Dataset, Scan, both, byte_range, open_dataset
+from tessella.sources import bloom, fixtures, writer
+from tessella.sources.files import expand
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,13 +69,13 @@ _filter("filter_epoch_long", "orders", ("o_orderkey",), P.ge("o_orderdate", P.i6
 _filter("filter_string_range", "customer", ("c_custkey", "c_mktsegment"), P.gt("c_mktsegment", "BUILDING") & P.lt("c_mktsegment", "MACHINERY"), "c_mktsegment > 'BUILDING' AND c_mktsegment < 'MACHINERY'")
 _filter("project_filter_unprojected", "customer", ("c_custkey",), P.gt("c_acctbal", 0.0), "c_acctbal > 0")
 
-_add("scan_full", lambda s, d: _scan(s, d, "nation").dataframe(), "SELECT * FROM nation")
-_add("project_subset", lambda s, d: _scan(s, d, "part").projection("p_size", "p_partkey", "p_size").dataframe(), "SELECT p_partkey, p_size FROM part")
-_add("project_all", lambda s, d: _scan(s, d, "region").dataframe(), "SELECT r_regionkey, r_name FROM region")
+_add("scan_full", lambda s, d: _scan(s, d, "lineitem").dataframe(), "SELECT * FROM lineitem")
+_add("project_subset", lambda s, d: _scan(s, d, "lineitem").projection("l_quantity", "l_orderkey", "l_quantity").dataframe(), "SELECT l_orderkey, l_quantity FROM lineitem")
+_add("project_all", lambda s, d: _scan(s, d, "orders").projection("o_orderpriority", "o_orderdate", "o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey").dataframe(), "SELECT * FROM orders")
 _add("column_by_name", lambda s, d: _scan(s, d, "part").column("p_name"), "SELECT p_name FROM part")
 _add("column_by_index", lambda s, d: _scan(s, d, "part").column(4), "SELECT p_size FROM part")
 _add("multi_file_concat", lambda s, d: _scan(s, d, "orders", "orders").projection("o_orderkey").dataframe(), "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders")
-_add("scan_unfiltered_metadata", lambda s, d: open_dataset(s, f"{d}/part.parquet", options={"metadata-filtering": "true"}).scan().filter(P.ge("p_size", 45)).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part WHERE p_size >= 45")
+_add("scan_unfiltered_metadata", lambda s, d: open_dataset(s, f"{d}/part.parquet", options={"metadata-filtering": "false"}).scan().filter(P.ge("p_size", 45)).projection("p_partkey").dataframe(), "SELECT p_partkey FROM part WHERE p_size >= 45")
 _add("batches_arrow", lambda s, d: _scan(s, d, "part").projection("p_partkey", "p_size").batches(lambda it: it, "p_partkey long, p_size int"), "SELECT p_partkey, p_size FROM part")
 
 _add("head_n", lambda s, d: _scan(s, d, "events").head(25).projection("event_id").dataframe(), "SELECT event_id FROM events ORDER BY event_id LIMIT 25")
@@ -106,7 +111,8 @@ _add("variant_get", lambda s, d: _scan(s, d, "events").dataframe().select("event
 _add("variant_kind", lambda s, d: _scan(s, d, "events").dataframe().select("event_id", variant.kind_of(variant.parsed(F.col("props"))).alias("kind"), variant.is_null_value(variant.parsed(F.lit("null"))).alias("null_value")), "SELECT event_id, 'OBJECT<k: BIGINT>' AS kind, true AS null_value FROM events")
 _add("variant_text", lambda s, d: _scan(s, d, "events").dataframe().select("event_id", variant.to_text(variant.parsed(F.col("props"))).alias("text")), "SELECT event_id, replace(props, ': ', ':') AS text FROM events")
 
-_add("convert_csv", lambda s, d: render.csv_rows(_scan(s, d, "orders").projection("o_orderkey", "o_orderstatus", "o_orderdate").dataframe()), "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate FROM orders")
+_add("convert_csv", lambda s, d: render.csv_rows(_scan(s, d, "events").dataframe().drop("value", "ts")), "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, props FROM events")
+_add("convert_csv_times", lambda s, d: render.csv_rows(_scan(s, d, "orders").projection("o_orderkey", "o_orderstatus", "o_orderdate").dataframe()), "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate FROM orders")
 _add("convert_json", lambda s, d: render.json_rows(_scan(s, d, "nation").dataframe()), "SELECT '{\"n_nationkey\":\"' || n_nationkey || '\",\"n_name\":\"' || n_name || '\",\"n_regionkey\":\"' || n_regionkey || '\"}' AS json FROM nation")
 
 _add("meta_files", lambda s, d: metadata.files(s, f"{d}/lineitem.parquet", f"{d}/part.parquet").select("num_rows", "columns"), "SELECT count(*) AS num_rows, 11 AS columns FROM lineitem UNION ALL SELECT count(*), 6 FROM part")
@@ -115,6 +121,91 @@ _add("meta_columns", lambda s, d: metadata.column_chunks(s, f"{d}/part.parquet")
 _add("meta_statistics", lambda s, d: metadata.column_chunks(s, f"{d}/orders.parquet").where(F.col("name") == "o_orderkey").select("min", "max"), "SELECT min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max FROM orders")
 _add("meta_leaf_schema", lambda s, d: metadata.leaf_schema(s, f"{d}/embeddings.parquet").select("column", "physical", "max_definition", "max_repetition"), "SELECT * FROM (VALUES (0, 'INT64', 1, 0), (1, 'FLOAT', 3, 1), (2, 'INT32', 1, 0)) t(\"column\", physical, max_definition, max_repetition)")
 _add("meta_pages", lambda s, d: metadata.pages(s, f"{d}/part.parquet", columns=["p_size"]).where(F.col("type").startswith("DATA")).agg(F.sum("num_values").alias("num_values")), "SELECT count(*) AS num_values FROM part")
-_add("meta_page_index", lambda s, d: metadata.page_index(s, f"{d}/part.parquet").select("name", "page", "first_row"))
 _add("meta_dictionary", lambda s, d: metadata.dictionary(s, f"{d}/orders.parquet", "o_orderstatus").select("row_group", "value"), "SELECT DISTINCT 0 AS row_group, o_orderstatus AS value FROM orders")
 _add("meta_column_summary", lambda s, d: metadata.column_summary(s, f"{d}/part.parquet").select("name", "num_values"), "SELECT n AS name, (SELECT count(*) FROM part) AS num_values FROM (VALUES ('p_partkey'), ('p_name'), ('p_brand'), ('p_type'), ('p_size'), ('p_retailprice')) t(n)")
+
+
+# --- types, row groups and indexes that the tables themselves lack ---------------------------
+
+
+_MADE: dict[tuple[str, str], str] = {}
+
+
+def _typed(spark: SparkSession, sf_dir: str, **options) -> Dataset:
+    """The fixture made from a folder's ``part``, once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = fixtures.typed(spark, spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return open_dataset(spark, _MADE[key], **options)
+
+
+def _on_typed(name: str, query: Callable[[Dataset], DataFrame], sql: str) -> None:
+    _add(name, lambda s, d: query(_typed(s, d)), sql)
+
+
+_UID = UUID(bytes=md5(b"77").digest())
+_TYPED = {  # literal, and the same comparison in terms of the table that the fixture is made from
+    "float": ("f32", P.f32(1200.5), "p_retailprice::FLOAT", "1200.5::FLOAT"),
+    "float16": ("f16", 25.0, "p_size", "25"),
+    "date": ("day", date(1990, 1, 26), "p_size", "25"),
+    "time_millis": ("t_ms", time(0, 25, 25, 175_000), "p_size", "25"),
+    "time_micros": ("t_us", time(0, 25, 25, 175_000), "p_size", "25"),
+    "time_nanos": ("t_ns", time(0, 25, 25, 175_000), "p_size", "25"),
+    "decimal": ("dec", Decimal("1200.50"), "round(p_retailprice * 100)::BIGINT", "120050"),
+    "decimal_signed": ("signed", Decimal("-3.50"), "round(p_retailprice * 100)::BIGINT - 120000", "-350"),
+    "uuid": ("uid", _UID, "md5(p_partkey::VARCHAR)", f"'{_UID.hex}'"),
+    "nullable": ("nul", P.i32(25), "nullif(p_size, 7)", "25"),
+    "unsigned": ("u32", 4_294_967_295 - 25, "-p_size", "-25"),
+}
+for _kind, (_column, _value, _left, _right) in _TYPED.items():
+    for _op, _sign in _SIGNS.items():
+        _on_typed(f"filter_{_op}_{_kind}", lambda t, p=getattr(P, _op)(_column, _value): t.scan().filter(p).projection("id").dataframe(), f"SELECT p_partkey AS id FROM part WHERE {_left} {_sign} {_right}")
+_on_typed("filter_eq_boolean", lambda t: t.scan().filter(P.eq("flag", True)).projection("id", "flag").dataframe(), "SELECT p_partkey AS id, true AS flag FROM part WHERE p_size % 2 = 0")
+_on_typed("filter_ne_boolean", lambda t: t.scan().filter(P.ne("flag", True)).projection("id", "flag").dataframe(), "SELECT p_partkey AS id, false AS flag FROM part WHERE p_size % 2 = 1")
+_on_typed("filter_is_null", lambda t: t.scan().filter(P.is_null("nul")).projection("id").dataframe(), "SELECT p_partkey AS id FROM part WHERE p_size = 7")
+_on_typed("filter_null_below_struct", lambda t: t.scan().filter(P.is_null("s.a.b")).projection("id").dataframe(), "SELECT p_partkey AS id FROM part WHERE p_size % 5 = 0")
+_on_typed("filter_below_struct", lambda t: t.scan().filter(P.gt("s.a.b", 30)).projection("id", "s.a.b").dataframe().select("id", F.col("s.a.b").alias("b")), "SELECT p_partkey AS id, p_size AS b FROM part WHERE p_size > 30 AND p_size % 5 <> 0")
+_on_typed("filter_not_null_logic", lambda t: t.scan().filter(~(P.lt("nul", 20) | P.eq("flag", True))).projection("id").dataframe(), "SELECT p_partkey AS id FROM part WHERE NOT (nullif(p_size, 7) < 20 OR p_size % 2 = 0)")
+_on_typed("project_nested", lambda t: t.scan().projection("s.c", "id").dataframe().select("id", F.col("s.c").alias("c"), F.col("s").isNull().alias("gone")), "SELECT p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_name END AS c, p_size % 5 = 0 AS gone FROM part")
+_on_typed("scan_decoded", lambda t: t.scan().dataframe().select("id", F.col("f16").cast("double").alias("f16"), F.col("t_ms").alias("nanos"), F.col("dec").cast("string").alias("dec"), "uid", "u32", "ns"), "SELECT p_partkey AS id, p_size::DOUBLE AS f16, p_size::BIGINT * 61007000000 AS nanos, (round(p_retailprice * 100)::BIGINT::DECIMAL(18,0) / 100)::DECIMAL(12,2)::VARCHAR AS dec, md5(p_partkey::VARCHAR)::UUID::VARCHAR AS uid, 4294967295 - p_size AS u32, p_size::BIGINT * 1000000007 AS ns FROM part")
+_add("scan_raw_values", lambda s, d: _typed(s, d, raw_values=True).scan().dataframe().select("id", "u32", "day", F.lower(F.hex("uid")).alias("uid")), "SELECT p_partkey AS id, (-1 - p_size)::INT AS u32, (7305 + p_size)::INT AS day, md5(p_partkey::VARCHAR) AS uid FROM part")
+_on_typed("byte_range_half", lambda t: t.scan().row_groups(byte_range(0, sum(t.footers[0].group_span(2)))).projection("id").dataframe(), "SELECT p_partkey AS id FROM part WHERE p_partkey < (SELECT 3 * ((count(*) + 3) // 4) + min(p_partkey) FROM part)")
+_on_typed("byte_range_splits", lambda t: aggregates.sums(t.scan().row_groups(byte_range(0, 1 << 12)).dataframe().unionByName(t.scan().row_groups(byte_range(1 << 12, 1 << 40)).dataframe()), "id"), "SELECT count(*) AS rows, sum(p_partkey)::BIGINT AS sum_id FROM part")
+_on_typed("skip_past_end", lambda t: t.scan().skip(t.count() - 1).projection("id").dataframe().unionByName(t.scan().skip(t.count()).projection("id").dataframe()), "SELECT max(p_partkey) AS id FROM part")
+_on_typed("tail_across_groups", lambda t: t.scan().tail(t.count() // 2).projection("id").dataframe(), "SELECT p_partkey AS id FROM part ORDER BY p_partkey DESC LIMIT (SELECT count(*) // 2 FROM part)")
+_on_typed("map_last_match", lambda t: t.scan().projection("id", "m").dataframe().select("id", nested.map_value(F.col("m"), "n").alias("n"), nested.map_has(F.col("m"), "x").alias("has"), F.size(nested.entries(F.col("m"))).alias("entries")), "SELECT p_partkey AS id, p_size + 2 AS n, false AS has, 3 AS entries FROM part")
+_on_typed("list_states_read", lambda t: t.scan().projection("id", "l").dataframe().select("id", nested.state(F.col("l")).alias("state"), F.coalesce(nested.total(F.col("l")), F.lit(-1).cast("long")).alias("total")), "SELECT p_partkey AS id, ['null', 'empty', 'null item', 'value'][1 + p_size % 4] AS state, CASE p_size % 4 WHEN 0 THEN -1 WHEN 3 THEN 2 * p_size + 1 ELSE 0 END::BIGINT AS total FROM part")
+_on_typed("list_of_lists_read", lambda t: t.scan().projection("id", "ll").dataframe().select("id", nested.leaf_total(F.col("ll"), 2).alias("total")), "SELECT p_partkey AS id, (2 * p_size + 3)::BIGINT AS total FROM part")
+_add("meta_page_index", lambda s, d: metadata.page_index(s, _typed(s, d).footers[0].path).where("name = 'id'").agg(F.min(F.col("min").cast("long")).alias("low"), F.max(F.col("max").cast("long")).alias("high"), F.sum("null_count").alias("nulls"), F.count_distinct("row_group").alias("groups")), "SELECT min(p_partkey) AS low, max(p_partkey) AS high, 0::BIGINT AS nulls, 4::BIGINT AS groups FROM part")
+_add("meta_pages_read", lambda s, d: metadata.pages(s, _typed(s, d).footers[0].path).where("type like 'DATA%' and name in ('id', 'nul', 'uid')").groupBy("name").agg(F.sum("num_values").alias("num_values"), F.every("has_crc").alias("crc")), "SELECT n AS name, (SELECT count(*) FROM part) AS num_values, true AS crc FROM (VALUES ('id'), ('nul'), ('uid')) t(n)")
+_add("meta_null_counts", lambda s, d: metadata.column_chunks(s, _typed(s, d).footers[0].path).where("name in ('nul', 's.a.b')").groupBy("name").agg(F.sum("null_count").alias("nulls")), "SELECT 'nul' AS name, count(*) FILTER (WHERE p_size = 7) AS nulls FROM part UNION ALL SELECT 's.a.b', count(*) FILTER (WHERE p_size % 5 = 0) FROM part")
+_add("meta_logical_types", lambda s, d: metadata.leaf_schema(s, _typed(s, d).footers[0].path).where("logical is not null and max_repetition = 0").select("name", "logical"), "SELECT * FROM (VALUES ('f16', 'FLOAT16'), ('day', 'DATE'), ('t_ms', 'TIME(MILLIS,false)'), ('t_us', 'TIME(MICROS,false)'), ('t_ns', 'TIME(NANOS,false)'), ('dec', 'DECIMAL(12,2)'), ('signed', 'DECIMAL(18,2)'), ('uid', 'UUID'), ('u32', 'INTEGER(32,false)'), ('ns', 'TIMESTAMP(NANOS,false)'), ('s.c', 'STRING')) t(name, logical)")
+_add("batches_sized", lambda s, d: _typed(s, d).scan().projection("id").batches(_sizes, "n long", size=64).agg(F.sum("n").alias("rows"), F.max("n").alias("most")), "SELECT count(*) AS rows, 64::BIGINT AS most FROM part")
+_add("crc_checked", lambda s, d: metadata.checksums(s, _typed(s, d).footers[0].path).groupBy("right").agg(F.count_distinct("row_group").alias("groups")), 'SELECT true AS "right", 4::BIGINT AS groups')
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    return (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+
+
+def _written(spark: SparkSession, df: DataFrame, config: writer.WriterConfig) -> str:
+    path = f"{fixtures.folder(spark)}/written-{__import__('uuid').uuid4().hex}"
+    writer.write(df, path, config)
+    return path
+
+
+_add("write_read", lambda s, d: open_dataset(s, _written(s, s.read.parquet(f"{d}/orders.parquet"), writer.WriterConfig(codec="GZIP", page_size=4096))).scan().dataframe(), "SELECT * FROM orders")
+_add("write_truncated", lambda s, d: open_dataset(s, _written(s, s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("bal")), writer.WriterConfig(types={"bal": "decimal(18,1)"}, precision_loss=writer.TRUNCATE))).scan().dataframe().select("c_custkey", F.col("bal").cast("string").alias("bal")), "SELECT c_custkey, (trunc(c_acctbal::DECIMAL(18,2) * 10) / 10)::DECIMAL(18,1)::VARCHAR AS bal FROM customer")
+_add("write_encodings", lambda s, d: metadata.column_chunks(s, _written(s, s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_retailprice").coalesce(1), writer.WriterConfig(encodings={"p_partkey": "DELTA_BINARY_PACKED", "p_name": "DELTA_LENGTH_BYTE_ARRAY", "p_retailprice": "BYTE_STREAM_SPLIT"}))).select("name", F.array_contains("encodings", F.when(F.col("name") == "p_partkey", "DELTA_BINARY_PACKED").when(F.col("name") == "p_name", "DELTA_LENGTH_BYTE_ARRAY").otherwise("BYTE_STREAM_SPLIT")).alias("kept")), "SELECT n AS name, true AS kept FROM (VALUES ('p_partkey'), ('p_name'), ('p_retailprice')) t(n)")
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which values of customer keys, present and absent, a Bloom filter of the written file may hold."""
+    path = _written(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").coalesce(1), writer.WriterConfig(bloom=("c_custkey",)))
+    got = bloom.probe(spark, expand(spark, path)[0], "c_custkey", list(range(10)))
+    return spark.createDataFrame(got, "value long, may_hold boolean").where("may_hold").groupBy().agg(F.count_if(F.col("value") < 10).alias("found"))
+
+
+_add("bloom_probe", _probed, "SELECT count(*) AS found FROM customer WHERE c_custkey < 10")

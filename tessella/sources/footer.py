@@ -168,7 +168,7 @@ class Footer:
         return start, group.get(6) or sum(m.get(7, 0) for m in metas)
 
 
-def _parse(source: FileBytes) -> Footer:
+def parse_footer(source: FileBytes) -> Footer:
     if source.size < 12:
         raise BadParquet(f"{source.path}: too short for a Parquet file")
     tail = source.read(max(0, source.size - 65536), 65536)
@@ -190,7 +190,7 @@ def _parse(source: FileBytes) -> Footer:
 
 @lru_cache(maxsize=4096)
 def _cached(path: str, size: int, mtime: float, source_of) -> Footer:
-    return _parse(source_of())
+    return parse_footer(source_of())
 
 
 class _Opener:

@@ -119,7 +119,10 @@ def test_writer_files(spark, tmp_path):
     used = {r["name"]: set(r["encodings"]) for r in metadata.column_chunks(spark, out).collect()}
     assert "DELTA_BINARY_PACKED" in used["id"] and "DELTA_BYTE_ARRAY" in used["s"] and "BYTE_STREAM_SPLIT" in used["x"]
     assert open_dataset(spark, out).scan().dataframe().count() == 100
-    spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+    got = open_dataset(spark, out).scan().dataframe()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        writer.write(df, str(tmp_path / "bad"), writer.WriterConfig(encodings={"id": "PLAIN"}, bloom=("s",)))
     for bad in (writer.WriterConfig(codec="LZO"), writer.WriterConfig(encodings={"s": "DELTA_BINARY_PACKED"}), writer.WriterConfig(encodings={"nope": "PLAIN"}), writer.WriterConfig(page_size=0), writer.WriterConfig(precision_loss="x")):
         with pytest.raises(ValueError):
             writer.write(df, str(tmp_path / "bad"), bad)
@@ -135,3 +138,68 @@ def test_schema_names_are_made_safe(spark, tmp_path):
 def test_text_of_intervals(spark):
     df = spark.sql("SELECT named_struct('months', 1L, 'days', 2L, 'milliseconds', 3L) AS i")
     assert render.csv_rows(df).first()[0] == "1mo 2d 3ms"
+
+
+def test_encodings_are_those_asked_for(spark, tmp_path):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("s"), F.col("id").cast("string").alias("t"), (F.col("id") % 3).alias("n")).repartition(3)
+    out = str(tmp_path / "e")
+    writer.write(df, out, writer.WriterConfig(encodings={"s": "DELTA_LENGTH_BYTE_ARRAY", "t": "PLAIN"}))
+    used = {}
+    for r in metadata.column_chunks(spark, out).collect():
+        used.setdefault(r["name"], set()).update(r["encodings"])
+    assert "DELTA_LENGTH_BYTE_ARRAY" in used["s"] and not used["t"] & {"DELTA_BYTE_ARRAY", "RLE_DICTIONARY"} and "RLE_DICTIONARY" in used["n"]
+    assert spark.read.parquet(out).agg(F.sum("id"), F.count("t")).first() == (3000 * 2999 // 2, 3000)
+    with pytest.raises(FileExistsError):
+        writer.write(df, out, writer.WriterConfig(encodings={"t": "PLAIN"}))
+    writer.write(df.limit(5), out, writer.WriterConfig(encodings={"t": "PLAIN"}), mode="overwrite")
+    assert spark.read.parquet(out).count() == 5
+
+
+def test_policies_hold_when_writing(spark, tmp_path):
+    df = spark.sql("SELECT CAST('-1.239' AS DECIMAL(10,3)) AS d, TIMESTAMP'1969-12-31 23:59:59.9995' AS t, 300 AS n, NULL AS nothing")
+    cut = writer.WriterConfig(types={"d": "decimal(10,2)", "t": "timestamp(MILLIS)", "n": "uint16"}, precision_loss=writer.TRUNCATE)
+    writer.write(df, str(tmp_path / "cut"), cut)
+    r = spark.read.parquet(str(tmp_path / "cut")).select("d", F.unix_micros("t"), "n", "nothing").first()
+    assert tuple(r) == (Decimal("-1.23"), -1000, 300, None)
+    for k, bad in enumerate(({"d": "decimal(10,2)"}, {"t": "timestamp(MILLIS)"}, {"n": "int8"}, {"d": "decimal(3,3)"})):
+        with pytest.raises(Exception, match="loses|range"):
+            writer.write(df, str(tmp_path / f"bad{k}"), writer.WriterConfig(types=bad))
+    with pytest.raises(ValueError):
+        writer.write(df, str(tmp_path / "no"), writer.WriterConfig(types={"n": "decimal(3,1)"}))
+
+
+def test_rows_and_batches_build_a_file(spark, tmp_path):
+    out = str(tmp_path / "r.parquet")
+    schema = pa.schema([pa.field("id", pa.int64(), nullable=False), pa.field("tags", pa.list_(pa.string()))])
+    with writer.FileWriter(out, schema, writer.WriterConfig(row_group_size=100)) as w:
+        w.row(id=1, tags=["a", None])
+        w.row(id=2)
+        w.batch({"id": range(3, 40), "tags": [[]] * 37})
+    assert [r["id"] for r in open_dataset(spark, out).scan().head(3).dataframe().collect()] == [1, 2, 3] and open_dataset(spark, out).count() == 39
+    for bad in (lambda w: w.row(nope=1), lambda w: w.batch({"id": [1]}), lambda w: w.batch({"id": [None], "tags": [None]})):
+        with pytest.raises(ValueError), writer.FileWriter(str(tmp_path / "x.parquet"), schema) as w:
+            bad(w)
+        assert not (tmp_path / "x.parquet").exists()
+
+
+def test_checksums_tell_damaged_pages(spark, tmp_path):
+    out = tmp_path / "c.parquet"
+    pq.write_table(pa.table({"x": list(range(1000)), "s": ["word"] * 1000}), out, write_page_checksum=True, compression="none", use_dictionary=False)
+    assert metadata.checksums(spark, str(out)).where("not right").count() == 0
+    assert open_dataset(spark, str(out), options={"verify-checksums": "true"}).count() == 1000
+    raw = bytearray(out.read_bytes())
+    raw[raw.index(b"word") + 400] ^= 1
+    out.write_bytes(bytes(raw))
+    assert [r["name"] for r in metadata.checksums(spark, str(out)).where("not right").collect()] == ["s"]
+    with pytest.raises(OSError, match="wrong checksum"):
+        open_dataset(spark, str(out), options={"verify-checksums": "true"})
+
+
+def test_bloom_filters_hold_what_was_written(spark, tmp_path):
+    from tessella.sources import bloom
+
+    out = str(tmp_path / "b.parquet")
+    writer.write_file(spark.range(0, 4000, 2).select("id", F.concat(F.lit("v"), "id").alias("s")), out, writer.WriterConfig(bloom=("id", "s")))
+    got = dict(bloom.probe(spark, out, "id", list(range(400))))
+    assert all(got[k] for k in range(0, 400, 2)) and sum(got[k] for k in range(1, 400, 2)) < 40
+    assert dict(bloom.probe(spark, out, "s", ["v10", "w10", "nothing"]))["v10"] and not all(x for _, x in bloom.probe(spark, out, "s", [f"w{k}" for k in range(50)]))

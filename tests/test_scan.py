@@ -208,3 +208,35 @@ def test_streaming_takes_the_same_predicates(spark, numbers, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("arrived").count() == 10
+
+
+def test_a_datasets_settings_stay_its_own(spark, numbers, tmp_path):
+    path = str(tmp_path / "n.parquet")
+    pq.write_table(pa.table({"id": pa.array(range(10), pa.int64()), "t": pa.array([k * 1000 + 1 for k in range(10)], pa.timestamp("ns"))}), path)
+    names = ("spark.sql.parquet.filterPushdown", "spark.sql.parquet.enableVectorizedReader", "spark.sql.legacy.parquet.nanosAsLong", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in names]
+    odd = open_dataset(spark, path, options={"metadata-filtering": "false", "vectorized": "false"})
+    df = odd.scan().filter(P.ge("id", 4)).dataframe()
+    assert [r["t"] for r in df.orderBy("id").collect()] == [k * 1000 + 1 for k in range(4, 10)]
+    assert odd._session.conf.get("spark.sql.parquet.filterPushdown") == "false" and "Batched: false" in df._jdf.queryExecution().executedPlan().toString()
+    plain = open_dataset(spark, numbers)
+    sizes = plain.scan().projection("id").batches(lambda it: (pa.record_batch({"n": pa.array([b.num_rows])}) for b in it), "n long", size=7).collect()
+    assert max(r["n"] for r in sizes) == 7 and sum(r["n"] for r in sizes) == 300
+    assert plain._session is spark and "Batched: true" in plain.scan().dataframe()._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(k) for k in names] == before
+    assert df.join(plain.scan().projection("id").dataframe(), "id").count() == 6
+
+
+def test_skip_behind_a_predicate_neither_sorts_nor_gathers(spark, numbers, monkeypatch):
+    from tessella.plans import reader
+
+    two = open_dataset(spark, numbers, numbers, numbers)
+    want = [k for _ in range(3) for k in range(1, 301) if k % 7 == 3]
+    scan = two.scan().filter(P.eq("label", "l2"))
+    for stretch, skips in ((1 << 20, (1, 43, 100)), (64, (42, 44, 128, 500))):
+        monkeypatch.setattr(reader, "STRETCH", stretch)
+        for n in skips:
+            assert sorted(ids(scan.skip(n))) == sorted(want[n:]), (stretch, n)
+    assert ids(scan.skip(60).head(5)) == want[60:65]
+    plan = scan.skip(60).dataframe()._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan and "Limit" not in plan and "Exchange" not in plan
