@@ -231,6 +231,7 @@ def language(docs: DataFrame) -> DataFrame:
 
     Texts that are null or hold no letter are ``und`` with score 0, as is everything if no row
     has a language to learn from. Long texts take time, not memory: spans pass in bounded batches.
+    Repeated rows agree, an empty table gives no rows, and other columns play no part.
     """
     net, names = train(sample(docs))
     sent = docs.sparkSession.sparkContext.broadcast((net, names))

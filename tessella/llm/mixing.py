@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -176,7 +175,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of ``docs``. Rows without words take nothing."""
+    """(doc_id, size, source_size, target, taken) of each row of ``docs``. Rows without words take nothing, rows without a source
+    are one source, repeated rows take alike, and an empty table gives no rows. Other columns, whatever their names, play no part."""
     m = mix(docs)
     per_key = saved(m.pieces.groupBy("key").agg(F.sum(F.col("to") - F.col("from")).alias("taken")), "mix-taken")
     rows = docs.select("doc_id", F.col("source").alias("name"), _key().alias("key"), word_count(F.col("text")).alias("size"))
@@ -195,6 +195,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     A row taken whole keeps its text as it is; of others the text is the words taken, in their
     order. ``n_chars``, if there, follows the text. A row comes as often as passes take any of it.
+    Rows with null or empty texts are never drawn; repeated rows are drawn alike; an empty table stays
+    empty. A long text is cut by its blocks of words. All columns stay, whatever their names.
     """
     m = mix(docs)
     spans = m.pieces.groupBy("key", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.sum(F.col("to") - F.col("from")).alias("words"))
@@ -215,12 +217,12 @@ def mixed(docs: DataFrame) -> DataFrame:
             out.append(_cut(t, joined))
         return pd.Series(out, dtype=object)
 
-    key = re.sub(r"\W", "", "__mix_key")
-    got = docs.withColumn(key, _key()).join(plan.withColumnRenamed("key", key).withColumnRenamed("spans", "__mix_spans"), key)
-    got = got.withColumn("text", cut("text", "__mix_spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key().alias("key")).join(plan, "key")
+    rows = rows.select("row", cut(F.col("row.text"), F.col("spans")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,7 +296,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``.
 
     A document's score comes from its most offending unit, so its length neither hides nor adds to
-    it. Null and empty texts score low. Without labels of both kinds nothing is found toxic.
+    it. Null and empty texts score low. Without labels of both kinds nothing is found toxic. Repeated
+    rows score alike, an empty table gives no rows, and columns other than id and text play no part.
     """
     score = scorer(docs.sparkSession, train(sample(docs, labels)))
     out = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
@@ -304,7 +305,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold."""
+    """``docs`` without those whose score reaches the threshold. Null and empty texts stay, repeated rows stay or go alike; all columns stay, whatever their names."""
     score = scorer(docs.sparkSession, train(sample(docs, labels)))
     return docs.where(score("text") < THRESHOLD)
 

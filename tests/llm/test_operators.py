@@ -197,6 +197,8 @@ def test_mix_nears_its_targets_and_repeats(spark):
     for r in mixing.mixed(df).collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
     assert words == {r["doc_id"]: r["taken"] for r in one if r["taken"]}
+    clash = df.withColumnsRenamed({"extra": "key", "lang": "spans"})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() == mixing.mixed(df).count()
 
 
 def test_small_sources_meet_their_targets_to_the_word(spark):
