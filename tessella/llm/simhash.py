@@ -154,6 +154,26 @@ def bands(found: np.ndarray, tables: int = TABLES, rows: int = ROWS, chunk: int
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least.reshape(tables, rows))], np.uint64)
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) among ``members`` (fp, n, root): all pairs of different roots whose ``sets`` (fp, set) have this Jaccard similarity, and few others.
+
+    Such a pair shares ``similarity`` of the larger set at least, so each set's rarest shingles, one
+    more than it may miss, hold a common one. Passages that many sets share are not among the rarest
+    but of sets that hold little else.
+    """
+    parts = members.join(sets, "fp").select("fp", "n", "root", F.explode("set").alias("h"))
+    shared = parts.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    rare = parts.join(shared, "h").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("rest"))
+    # Shingles of one set alone come first, and find nothing.
+    take = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("rest"))
+    heads = saved(rare.select("fp", "n", "root", F.explode(F.slice("rest", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))["h"]).alias("h")), "similar-heads")
+    mixed = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    heads = heads.join(mixed, "h")
+    a, b = heads.alias("a"), heads.alias("b")
+    near = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root"))
+    return a.join(b, near & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
 def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, rounds: int = 3) -> DataFrame:
     """(id, at, component, root) of each row of ``docs``: its text's hash, the least id that can be reached over pairs whose word 5-shingles have this Jaccard similarity or more, and the group's name.
 
@@ -162,9 +182,9 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
     MinHash minima (a pair at 0.8 fails to with odds of 0.0004, a closer one with less), and each is
     then verified on the whole shingle sets. Rows of equal sets fall together first.
 
-    A key with more than ``crowd`` sets isn't paired off at once: in ``rounds``, its members are held
-    against one of them; then those outside the key's largest component are held against all others
-    outside their own, so that no candidate between components is left out.
+    A key with more than ``crowd`` sets isn't paired off: in ``rounds``, its members are held against
+    one of them, which joins large groups of near copies; what then is still in different components
+    meets by ``prefix_pairs``, which leaves no pair out.
     """
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,14 +216,16 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
         both = F.size(F.array_intersect("x", "y"))
         return saved(got.where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "similar-links")
 
+    def rooted(members: DataFrame) -> DataFrame:
+        return members.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
     a, b = entries.where("not crowded").alias("a"), entries.where("not crowded").alias("b")
     near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & fits("a.n", "b.n"))
-    found = verified(near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
-    joined = components(found, "similar-components")
+    joined = saved(components(verified(near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))), "similar-components"), "similar-joined")
     full = entries.where("crowded").select("k", "fp", "n")
     if not full.isEmpty():
         for turn in range(rounds + 1):
-            now = saved(full.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("k", "fp", "n", F.coalesce("component", "fp").alias("root")), "similar-crowds")
+            now = saved(rooted(full), "similar-crowds")
             per = now.groupBy("k", "root").agg(F.count("*").alias("members")).groupBy("k").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("members", "root")).alias("main")).where("roots > 1")
             if turn < rounds:
                 # Members of the largest component take turns, and so do all where no component stands out.
@@ -211,10 +233,15 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
                 one = now.join(per, "k").groupBy("k").agg(F.min_by(F.struct("fp", "n", "root"), order).alias("one")).select("k", F.col("one.fp").alias("b"), F.col("one.n").alias("m"), F.col("one.root").alias("other"))
                 pairs = now.join(one, "k").where((F.col("root") != F.col("other")) & fits("n", "m")).select(F.col("fp").alias("a"), "b")
             else:
-                few = now.join(per.select("k", "main"), "k").where("root <> main").select("k", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), "main")
-                pairs = few.join(now, "k").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("fp"))) & fits("n", "m")).select("a", F.col("fp").alias("b"))
-            found = found.union(verified(pairs))
-            joined = components(found, "similar-components")
+                pairs = prefix_pairs(now.join(per, "k").select("fp", "n", "root").distinct(), sets, similarity)
+            linked = verified(pairs)
+            if linked.isEmpty():
+                continue
+            # Only the components that the new links join are worked on.
+            ends = rooted(rooted(linked.withColumnRenamed("a", "fp")).select(F.col("root").alias("a"), F.col("b").alias("fp"))).select("a", F.col("root").alias("b"))
+            more = saved(components(ends, "similar-components"), "similar-merged")
+            moved = joined.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            joined = saved(moved.union(more.join(joined, "node", "left_anti").select("node", "component")), "similar-joined")
     named = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     return prints.select("id", "at", "fp").join(named.join(roots, "root").select("fp", "component", "root"), "fp").select("id", "at", "component", "root")

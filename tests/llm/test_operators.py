@@ -123,6 +123,26 @@ def test_edited_copies_are_near_duplicates(spark, crowd):
         assert len(set(label)) < 70 < len({r["component_id"] for r in simhash.near_duplicates(docs(spark, texts)).collect()})
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_crowds_of_unlike_texts_lose_no_link(spark, rounds):
+    random.seed(13)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    passage = random.choices(vocabulary, k=80)
+    texts = [passage + random.choices(vocabulary, k=random.choice([15, 30, 60])) for _ in range(50)]
+    for _ in range(50):
+        t = list(random.choice(texts))
+        for at in random.sample(range(len(t)), random.choice([0, 1, 2, 4])):
+            t[at] = "edited"
+        texts.append(t + random.choices(vocabulary, k=random.choice([0, 0, 1, 3])))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in texts]
+    alike = [[j for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j in near) for near in alike]
+    got = simhash.similar(docs(spark, [" ".join(t) for t in texts]), crowd=2, rounds=rounds)
+    assert {r["id"]: r["component"] for r in got.collect()} == dict(enumerate(label))
+
+
 # --- token files -----------------------------------------------------------------------------
 
 
