@@ -158,20 +158,24 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     """Candidates (a, b) among ``members`` (fp, n, root): all pairs of different roots whose ``sets`` (fp, set) have this Jaccard similarity, and few others.
 
     Such a pair shares ``similarity`` of the larger set at least, so each set's rarest shingles, one
-    more than it may miss, hold a common one. Passages that many sets share are not among the rarest
-    but of sets that hold little else.
+    more than it may miss, hold a common one. The first of these is early enough in both that what
+    follows can still make up the overlap; pairs that never are so early don't meet. Passages that
+    many sets share are not among the rarest but of sets that hold little else.
     """
     parts = members.join(sets, "fp").select("fp", "n", "root", F.explode("set").alias("h"))
     shared = parts.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     rare = parts.join(shared, "h").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("rest"))
-    # Shingles of one set alone come first, and find nothing.
-    take = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("rest"))
-    heads = saved(rare.select("fp", "n", "root", F.explode(F.slice("rest", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))["h"]).alias("h")), "similar-heads")
+    # Shingles of one set alone come first, and find nothing; ``left`` counts a shingle and those after it.
+    alone = F.col("n") - F.size("rest")
+    take = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
+    heads = rare.select("fp", "n", "root", alone.alias("alone"), F.posexplode(F.slice("rest", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))["h"]).alias("at", "h"))
+    heads = saved(heads.select("fp", "n", "root", "h", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "similar-heads")
     mixed = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
     heads = heads.join(mixed, "h")
     a, b = heads.alias("a"), heads.alias("b")
     near = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root"))
-    return a.join(b, near & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    enough = F.least("a.left", "b.left") >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    return a.join(b, near & enough).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, rounds: int = 3) -> DataFrame:
