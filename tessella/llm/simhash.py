@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -19,6 +20,8 @@ BITS = 64
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: For ``similar``: words of a shingle; Jaccard similarity of near copies; MinHash keys of a set, and minima of a key.
 WORDS, SIMILARITY, TABLES, ROWS = 5, 0.8, 20, 5
+#: In which ``prefix_pairs`` counts shingles: 8 MB.
+BUCKETS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, chunk: int = 65536) -> int:
@@ -159,23 +162,50 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
 
     Such a pair shares ``similarity`` of the larger set at least, so each set's rarest shingles, one
     more than it may miss, hold a common one. The first of these is early enough in both that what
-    follows can still make up the overlap; pairs that never are so early don't meet. Passages that
-    many sets share are not among the rarest but of sets that hold little else.
+    follows can still make up the overlap, in the smaller set earlier still; pairs that never are so
+    early don't meet. Passages that many sets share are not among the rarest but of sets that hold
+    little else.
+
+    Shingles are ordered by how many fall in their one of ``BUCKETS`` buckets. Any order finds every
+    pair, so that buckets shared by chance cost a few candidates at most, and the counts are of a
+    fixed size whatever the input: the driver and each worker hold them.
     """
-    parts = members.join(sets, "fp").select("fp", "n", "root", F.explode("set").alias("h"))
-    shared = parts.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    rare = parts.join(shared, "h").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("rest"))
-    # Shingles of one set alone come first, and find nothing; ``left`` counts a shingle and those after it.
-    alone = F.col("n") - F.size("rest")
-    take = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
-    heads = rare.select("fp", "n", "root", alone.alias("alone"), F.posexplode(F.slice("rest", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))["h"]).alias("at", "h"))
-    heads = saved(heads.select("fp", "n", "root", "h", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "similar-heads")
+    parts = saved(members.join(sets, "fp"), "similar-parts")
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for x in b["set"]:
+                np.add.at(counts, x & (BUCKETS - 1), 1)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": at, "f": counts[at]})
+
+    counted = parts.select("set").mapInPandas(tally, "bucket long, f long").groupBy("bucket").agg(F.sum("f").alias("f")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[counted["bucket"].to_numpy(np.int64)] = counted["f"]
+    shared = parts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = shared.value
+        for b in batches:
+            out = []
+            for fp, root, x in zip(b["fp"], b["root"], b["set"], strict=True):
+                often = f[x & (BUCKETS - 1)]
+                order = np.lexsort((x, often))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+                # Shingles of one set alone come first, and find nothing; ``left`` counts a shingle and those after it.
+                at = np.flatnonzero(often[order] > 1)
+                out.append(pd.DataFrame({"fp": fp, "n": len(x), "root": root, "h": x[order[at]], "left": len(x) - at}))
+            if out:
+                yield pd.concat(out)
+
+    heads = saved(parts.select("fp", "root", "set").mapInPandas(rarest, "fp long, n long, root long, h long, left long"), "similar-heads")
     mixed = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    heads = heads.join(mixed, "h")
-    a, b = heads.alias("a"), heads.alias("b")
-    near = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root"))
-    enough = F.least("a.left", "b.left") >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    return a.join(b, near & enough).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    heads = saved(heads.join(mixed, "h"), "similar-heads")
+    share = similarity / (1 + similarity)
+    a, b = heads.where(F.col("left") >= 2 * share * F.col("n") - 1e-9).alias("a"), heads.alias("b")
+    smaller = F.struct("a.n", "a.fp") < F.struct("b.n", "b.fp")
+    enough = F.least("a.left", "b.left") >= share * (F.col("a.n") + F.col("b.n")) - 1e-9
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & smaller & (F.col("a.root") != F.col("b.root")) & enough).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, rounds: int = 3) -> DataFrame:
