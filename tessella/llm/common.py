@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,13 @@ def drop_saved(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back() -> None:
+    """Hands memory that Arrow and the C library hold free back to the system, for the JVM and the other workers of the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _REMEMBERED: dict = {}
 
 
@@ -52,10 +62,16 @@ def remembered(owner, make: Callable[[], object]):
     """What a Python worker keeps from one task to the next: of one owner at a time, so that an operator's memory goes when the next one starts."""
     if owner not in _REMEMBERED:
         _REMEMBERED.clear()
+        give_back()
         _REMEMBERED[owner] = make()
     return _REMEMBERED[owner]
 
 
+def nothing_remembered(owner) -> None:
+    """For tasks of an operator that keeps nothing: what the one before kept goes."""
+    remembered(owner, lambda: None)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

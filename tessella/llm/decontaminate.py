@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import nothing_remembered
+
 TOKEN = re.compile(r"\w+")
 #: Shortest tile in tokens; share of an item's tokens that tiles must cover; items that one pass holds at most, and their characters.
 MIN_MATCH, COVERAGE, ITEMS, ITEM_CHARS = 5, 0.5, 20_000, 8_000_000
@@ -183,6 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             items = sent.value
+            nothing_remembered("decontamination")
             for b in batches:
                 rows = [(i, *x) for i, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) if isinstance(t, str) for x in items.match(t, coverage)]
                 yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "item_id": pd.array([r[1] for r in rows], "Int64"), "coverage": np.array([r[2] for r in rows], np.float64), "tiles": pd.Series([[list(x) for x in r[3]] for r in rows], dtype=object)})
@@ -204,6 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
     def leaks(items: Broadcast):
         @F.pandas_udf("boolean")
         def found(text: pd.Series) -> pd.Series:
+            nothing_remembered("decontamination")
             return pd.Series([bool(isinstance(t, str) and items.value.match(t, coverage)) for t in text])
 
         return found("text")

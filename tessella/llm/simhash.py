@@ -13,13 +13,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, saved
+from tessella.llm.common import components, give_back, nothing_remembered, saved
 
 BITS = 64
 #: Shifts and widths of the six blocks that a fingerprint is cut into.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: For ``similar``: words of a shingle; Jaccard similarity of near copies; MinHash keys of a set, and minima of a key.
 WORDS, SIMILARITY, TABLES, ROWS = 5, 0.8, 20, 5
+#: Texts whose shingles a task holds at a time.
+SLICE = 1024
 #: In which ``prefix_pairs`` counts shingles: 8 MB.
 BUCKETS = 1 << 20
 
@@ -173,6 +175,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     parts = saved(members.join(sets, "fp"), "similar-parts")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_remembered("near-duplicates")
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for x in b["set"]:
@@ -222,10 +225,14 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
     """
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [shingles(t) for t in b["text"]]
-            keys = np.array([_set_key(x) for x in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "at": b["at"], "fp": keys, "n": [len(x) for x in found], "keys": [bands(x).view(np.int64) for x in found]})
+        nothing_remembered("near-duplicates")
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                b = whole.iloc[at : at + SLICE]
+                found = [shingles(t) for t in b["text"]]
+                keys = np.array([_set_key(x) for x in found], np.uint64).view(np.int64)
+                yield pd.DataFrame({"id": b["id"].astype("Int64").array, "at": b["at"].array, "fp": keys, "n": [len(x) for x in found], "keys": [bands(x).view(np.int64) for x in found]})
+            give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("at"), "text")
     prints = saved(texts.mapInPandas(signed, "id long, at long, fp long, n long, keys array<long>"), "similar-prints")
@@ -235,9 +242,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = 64, ro
     entries = saved(entries.join(full, "k"), "similar-entries")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"fp": np.array([_set_key(x) for x in found], np.uint64).view(np.int64), "set": [x.view(np.int64) for x in found]})
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                found = [shingles(t) for t in whole["text"].iloc[at : at + SLICE]]
+                yield pd.DataFrame({"fp": np.array([_set_key(x) for x in found], np.uint64).view(np.int64), "set": [x.view(np.int64) for x in found]})
+            give_back()
 
     wanted = texts.join(entries.select("at").distinct(), "at", "left_semi").dropDuplicates(["at"]).select("text")
     sets = saved(wanted.mapInPandas(cut, "fp long, set array<long>"), "similar-sets")

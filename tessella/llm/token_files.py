@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import remembered, saved, shuffle_partitions
+from tessella.llm.common import give_back, remembered, saved, shuffle_partitions
 
 BLOCK, PERCENTILE, CHUNK = 128, 0.9, 1 << 18
 HEAD = struct.Struct("<4sQIII")
@@ -324,6 +324,7 @@ def encode_to_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
                     held += len(x)
                     if held >= chunk:
                         yield flush()
+            give_back()
         if ids:
             yield flush()
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, remembered
+from tessella.llm.common import give_back, held_out, remembered
 
 #: Longest unit; steps between the windows of longer ones; decay; documents of each label that training samples (about).
 WINDOW, STEP, DECAY, SAMPLE = 16, 8, 0.6, 2000
@@ -72,8 +72,8 @@ def _grouped(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(w) >= 3:
             by[len(w)].append(k)
     for places in by.values():
-        for at in range(0, len(places), 4096):
-            some = places[at : at + 4096]
+        for at in range(0, len(places), 1024):
+            some = places[at : at + 1024]
             yield np.array(some), np.array([[_code(c) for c in words[k]] for k in some], np.int64)
 
 
@@ -287,6 +287,7 @@ def scorer(spark: SparkSession, model: Model, most: int = 200_000):
                 known.update(zip(new[k : k + 32_768], model.margins(new[k : k + 32_768]).tolist(), strict=True))
             for k, bag in enumerate(bags):
                 out[at + k] = model.probability(max(map(known.__getitem__, bag))) if bag else empty
+        give_back()
         return pd.Series(out)
 
     return score

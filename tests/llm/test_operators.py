@@ -143,6 +143,24 @@ def test_crowds_of_unlike_texts_lose_no_link(spark, rounds):
     assert {r["id"]: r["component"] for r in got.collect()} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("buckets", [1 << 20, 16])
+def test_rarest_shingles_pair_all_that_are_alike(spark, monkeypatch, buckets):
+    monkeypatch.setattr(simhash, "BUCKETS", buckets)
+    rng = np.random.default_rng(17)
+    common, sets = rng.integers(-(1 << 62), 1 << 62, 60), []
+    for _ in range(60):
+        base = sets[rng.integers(len(sets))] if sets and rng.random() < 0.7 else np.append(common[: rng.integers(60)], rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 40)))
+        kept = base[rng.random(len(base)) < 0.95]
+        sets.append(np.unique(np.append(kept, rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 4)))))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(sets)], "fp long, set array<long>")
+    roots = [k % 50 for k in range(len(sets))]
+    members = spark.createDataFrame([(k, len(x), roots[k]) for k, x in enumerate(sets)], "fp long, n long, root long")
+    got = {frozenset(r) for r in simhash.prefix_pairs(members, rows, 0.8).collect()}
+    alike = {frozenset((i, j)) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if roots[i] != roots[j] and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    assert len(alike) > 10 and alike <= got
+    assert all(roots[i] != roots[j] for i, j in map(sorted, got))
+
+
 # --- token files -----------------------------------------------------------------------------
 
 
