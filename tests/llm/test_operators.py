@@ -143,6 +143,39 @@ def test_crowds_of_unlike_texts_lose_no_link(spark, rounds):
     assert {r["id"]: r["component"] for r in got.collect()} == dict(enumerate(label))
 
 
+def test_wide_fingerprints_are_simhashes_and_tables_catch_near_pairs():
+    rng = np.random.default_rng(18)
+    found = rng.integers(0, 1 << 63, 700, np.uint64)
+    salt, votes = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64), np.zeros((64, 8), int)
+    for x in found:
+        for lane, s in enumerate(salt.tolist()):
+            h = (int(x) ^ s) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 31) * 0x94D049BB133111EB % 2**64
+            votes[lane] += list((h ^ h >> 32).to_bytes(8, "little"))
+    # Even bytes of all words come first, then odd ones.
+    want = np.concatenate([votes[:, 0::2].ravel(), votes[:, 1::2].ravel()]) * 2 > 255 * len(found)
+    assert (np.unpackbits(simhash.wide_fingerprint(found).view(np.uint8), bitorder="little") == want).all()
+    chosen, missed = simhash.plan(50_000), 0
+    for shared, more in [(8, 1), (80, 10), (400, 50)] * 300:  # a Jaccard similarity of 0.8
+        z = rng.integers(0, 1 << 63, shared + 2 * more, np.uint64)
+        pair = np.array([simhash.wide_fingerprint(z[more:]), simhash.wide_fingerprint(z[: shared + more])])
+        one, two = simhash.table_keys(pair, chosen)
+        apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(*pair[:, : simhash.CARRIED].view(np.uint64), strict=True))
+        missed += not (one == two).any() or apart > simhash.reach()
+    assert missed <= 1
+
+
+def test_pipelines_near_duplicates_come_through_fingerprints(spark, monkeypatch):
+    import corpus_pipeline as C
+
+    random.seed(19)
+    texts = [random.choices([f"w{k}" for k in range(3000)], k=100) for _ in range(10)]
+    df = docs(spark, [" ".join(t) for t in texts] + [" ".join([*t, "tail"]) for t in texts] + [" ".join(t) for t in texts[:5]])
+    assert {r["doc_id"] for r in C.drop_near_duplicates(spark, df, SMALL).collect()} == set(range(10))
+    monkeypatch.setattr(simhash, "reach", lambda similarity, bits=0: -1)
+    assert {r["doc_id"] for r in C.drop_near_duplicates(spark, df, SMALL).collect()} == set(range(20))
+
+
 @pytest.mark.parametrize("buckets", [1 << 20, 16])
 def test_rarest_shingles_pair_all_that_are_alike(spark, monkeypatch, buckets):
     monkeypatch.setattr(simhash, "BUCKETS", buckets)
