@@ -143,7 +143,9 @@ def _runs(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) + total < 1 << 31) else np.int64
-    return np.repeat((start - ends + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
+    out = np.repeat((start - ends + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -164,6 +166,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # Its own memory of words would never be read: each piece is encoded once.
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
         size = self.tokenizer.get_vocab_size()
         self.kind = "<u4" if size > 65536 else "<u2"
         #: By kind of piece. What an older generation knows is taken over when it recurs.
@@ -185,14 +190,15 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unknown(self, kind: int, pieces: Iterable[str]) -> list[str]:
-        """The pieces that neither generation remembers; those of the older one are taken over to the newer."""
+    def _unknown(self, kind: int, pieces: Iterable[str], missing: bool = False) -> list[str]:
+        """The pieces that neither generation remembers, ``missing`` ones not the newer; those of the older one are taken over to the newer."""
         known, older = self.known[kind], self.older[kind]
-        new = [w for w in pieces if w not in known.number]
+        new = list(pieces) if missing else [w for w in pieces if w not in known.number]
         if new and older.number:
             back = [w for w in new if w in older.number]
             known.add(back, *older.of(back))
-            new = [w for w in new if w not in known.number]
+            back = set(back)
+            new = [w for w in new if w not in back]
         return new
 
     def _alone(self, kind: int, pieces: list[str]) -> None:
@@ -212,15 +218,15 @@ class Encoder:
             out[_runs(ends - len(after[0]), np.full(len(ends), len(after[0])))] = np.concatenate(after)
         self.known[kind].add(pieces, out, sizes + more)
 
-    def _learn(self, kind: int, pieces: Iterable[str]) -> None:
-        """Ids of pieces of a kind.
+    def _learn(self, kind: int, pieces: Iterable[str], missing: bool = False) -> None:
+        """Ids of pieces of a kind, of which the newer generation knows none if they are ``missing``.
 
         New words are encoded in one text, a space or a line feed before each: a word's ids start at a
         token that starts with a space, or behind the line feed's. A full stop or comma after a letter,
         and a line feed between other characters, are pre-tokens of their own; so such pieces take the
         ids of their parts. Pieces with white space inside are encoded alone.
         """
-        new = self._unknown(kind, pieces)
+        new = self._unknown(kind, pieces, missing)
         lines = [w for w in new if w[:1] == "\n"] if kind else []
         if lines:
             rest = [w[1:] for w in lines]
@@ -252,7 +258,7 @@ class Encoder:
         at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.nonzero(at < 0)[0]
         new = [pieces[k] for k in missing.tolist()]
-        self._learn(kind, dict.fromkeys(new))
+        self._learn(kind, dict.fromkeys(new), True)
         at[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
         return at
 
@@ -269,7 +275,7 @@ class Encoder:
         cut = pc.split_pattern(pa.array(["" if k in whole else self.joined(t) for k, t in enumerate(texts)], pa.large_string()), self.SEPARATOR)
         at = cut.offsets.to_numpy().astype(np.int64)
         numbered = cut.flatten().dictionary_encode()
-        words, piece = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype(np.int64)
+        words, piece = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype(np.int32)
         first = [words[k] for k in piece[at[:-1]].tolist()]
         # Lines' pieces may be learned with later ones: so ids are taken when all are known.
         in_first, in_later = self._numbers(self.FIRST, first), self._numbers(self.LATER, words)

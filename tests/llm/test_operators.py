@@ -221,6 +221,22 @@ def test_token_files_match_whole_text_encoding(spark):
         at += len(ids)
 
 
+def test_encoder_looks_new_pieces_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    encoder = token_files.Encoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    for known in encoder.known:
+        known.number = Counting()
+    text = " ".join(f"word{k}x" for k in range(500))
+    assert encoder.encode([text])[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert sum(known.number.asked for known in encoder.known) == 0
+
+
 def test_encoder_forgets_and_relearns():
     encoder = token_files.Encoder(token_files.tokenizer_path("byte_bpe_50k.json"), most=9000)
     random.seed(5)
