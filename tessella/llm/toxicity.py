@@ -271,6 +271,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
 def scorer(spark: SparkSession, model: Model, most: int = 200_000):
     """A function of a text column that gives the score of each whole text. Margins of units are remembered by each worker."""
     sent = spark.sparkContext.broadcast(model)
+    give_back()  # what the driver learned from
     stamp = hash(model.weights.tobytes())
 
     @F.pandas_udf("double")

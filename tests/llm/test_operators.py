@@ -176,6 +176,62 @@ def test_pipelines_near_duplicates_come_through_fingerprints(spark, monkeypatch)
     assert {r["doc_id"] for r in C.drop_near_duplicates(spark, df, SMALL).collect()} == set(range(20))
 
 
+def test_tables_of_near_duplicates_grow_with_the_texts_and_go_when_done(spark, monkeypatch):
+    from pathlib import Path
+
+    assert len(simhash.plan(47_257)) == len(simhash.plan(236_076)) < 40
+    random.seed(20)
+    text, written = [f"w{k}" for k in random.choices(range(3000), k=300)], []
+    texts = [" ".join([*text[:k], "edited", *text[k + 1 :]]) for k in range(150)]
+    save = simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, name: written.append((name, (out := save(df, name)).count())) or out)
+    assert [r["doc_id"] for r in simhash.keep_one(docs(spark, texts), 0.8).collect()] == [0]
+    assert len(written) > 5 and max(n for _, n in written) < 150 * 40  # pairs would be 11,175
+    assert not list(Path(common.shared_folder(spark)).glob("similar-*"))
+
+
+@pytest.mark.parametrize("paired", [1 << 15, 60])
+def test_groups_under_a_key_are_those_of_all_pairs(paired):
+    rng = np.random.default_rng(21)
+    rows = np.zeros(300, simhash.ENTRY)
+    for k in range(300):
+        bits = rng.random(512) < (0.01 if k >= 40 else 0.5)
+        rows["print"][k] = np.packbits(bits, bitorder="little").view(np.uint64) ^ (rows["print"][rng.integers(k - 40, k)] if k >= 40 else 0)
+    rows["n"] = rng.choice([100, 110, 200], 300)
+    label = want = np.arange(300)
+    near = [(i, j) for i in range(300) for j in range(i) if np.bitwise_count(rows["print"][i] ^ rows["print"][j]).sum() <= 125 and min(rows["n"][[i, j]]) >= 0.8 * max(rows["n"][[i, j]])]
+    for _ in label:
+        for i, j in near:
+            want = np.where(want == max(want[i], want[j]), min(want[i], want[j]), want)
+        if all(want[i] == want[j] for i, j in near):
+            break
+    got = simhash.near_groups(rows, 0.8, 128, 125, paired)
+    assert len(near) > 300 and all(got[i] == got[j] for i, j in near)
+    assert paired == 60 or (got == want).all()
+
+
+def test_groups_of_alike_sets_are_those_of_all_pairs():
+    rng = np.random.default_rng(22)
+    for _ in range(20):
+        sets = [rng.choice(1000, rng.integers(1, 60), replace=False)]
+        for _ in range(40):
+            base = sets[rng.integers(len(sets))]
+            sets.append(np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.8, 0.95, 1])], rng.integers(0, 1000, rng.integers(1, 4)))))
+        label = list(range(len(sets)))
+        for _ in sets:
+            label = [min(label[j] for j, y in enumerate(sets) if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9) for x in sets]
+        assert simhash.alike_groups(sets, 0.8).tolist() == label
+
+
+def test_few_marks_change_no_near_duplicates(spark, monkeypatch):
+    random.seed(23)
+    texts = [random.choices([f"w{k}" for k in range(3000)], k=100) for _ in range(20)]
+    df = docs(spark, [" ".join(t) for t in texts] + [" ".join([*t, "tail"]) for t in texts[:8]])
+    df = df.union(df.where("doc_id < 3"))
+    monkeypatch.setattr(simhash, "MARKS", 4)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, 0.8).collect()) == list(range(20))
+
+
 @pytest.mark.parametrize("buckets", [1 << 20, 16])
 def test_rarest_shingles_pair_all_that_are_alike(spark, monkeypatch, buckets):
     monkeypatch.setattr(simhash, "BUCKETS", buckets)
