@@ -55,6 +55,19 @@ def test_pages_indexes_and_dictionaries(spark, path):
     assert abs(sum(r["share"] for r in shares) - 1) < 1e-9
 
 
+def test_columns_sum_up_chunks(spark, tmp_path):
+    table = pa.table({"n": pa.array([None, 5, 7, None], pa.int32()), "l": pa.array([[1, None], [], None, [2]], pa.list_(pa.int64()))})
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=1)
+    pq.write_table(table.slice(1, 2), tmp_path / "b.parquet")
+    got = {r["name"]: r for r in metadata.columns(spark, str(tmp_path)).collect()}
+    assert [(r["column"], r["physical"], r["chunks"], r["num_values"], r["null_count"]) for r in (got["n"], got["l.list.element"])] == [(0, "INT32", 5, 6, 2), (1, "INT64", 5, 7, 5)]
+    pq.write_table(table, tmp_path / "c.parquet", write_statistics=["l.list.element"])
+    got = {r["name"]: r for r in metadata.columns(spark, str(tmp_path)).collect()}
+    assert (got["n"]["num_values"], got["n"]["null_count"], got["l.list.element"]["null_count"]) == (10, None, 8)
+    pq.write_table(table.slice(0, 0), tmp_path / "none.parquet")
+    assert [tuple(r)[5:7] for r in metadata.columns(spark, str(tmp_path / "none.parquet")).collect()] == [(0, 0), (0, 0)]
+
+
 def run(spark, *arguments):
     out = io.StringIO()
     assert cli.main(list(arguments), spark, out) == 0
