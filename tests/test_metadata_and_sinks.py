@@ -4,6 +4,7 @@ import io
 import json
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -68,6 +69,20 @@ def test_columns_sum_up_chunks(spark, tmp_path):
     assert [tuple(r)[5:7] for r in metadata.columns(spark, str(tmp_path / "none.parquet")).collect()] == [(0, 0), (0, 0)]
 
 
+def test_bounds_of_chunks_compare_as_their_type(spark, tmp_path):
+    table = pa.table({
+        "n": pa.array([-20, 999, 1000, None], pa.int64()), "u": pa.array([4_294_967_295, 5, 70, 8], pa.uint32()), "d": pa.array([Decimal("-3.50"), Decimal("20.00"), None, Decimal("100.00")], pa.decimal128(30, 2)),
+        "x": [2.5, -10.0, 9.0, None], "s": ["b", "é", "aa", None], "flag": [True, False, True, None], "f16": pa.array(np.array([2, -4, 1, 3], np.float16)), "nul": pa.array([None] * 4, pa.int32()),
+    })
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=1)
+    got = {r["name"]: (r["min"], r["max"]) for r in metadata.columns(spark, str(tmp_path)).collect()}
+    assert got.pop("f16") == (np.float16(-4).tobytes().hex(), np.float16(3).tobytes().hex())
+    assert got == {"n": ("-20", "1000"), "u": ("5", "4294967295"), "d": ("-3.50", "100.00"), "x": ("-10.0", "9.0"), "s": ("aa", "é"), "flag": ("false", "true"), "nul": (None, None)}
+    pq.write_table(table, tmp_path / "b.parquet", write_statistics=["s"])
+    got = {r["name"]: (r["min"], r["max"]) for r in metadata.columns(spark, str(tmp_path)).collect()}
+    assert got["n"] == (None, None) and got["s"] == ("aa", "é")
+
+
 def run(spark, *arguments):
     out = io.StringIO()
     assert cli.main(list(arguments), spark, out) == 0
